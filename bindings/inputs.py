@@ -82,48 +82,46 @@ FROM pages
 """
 
 
+def _statement(number: Column) -> Column:
+    return (
+        F.when(number == 1, F.concat(F.lit("value = eval (row"), F.col("l_partkey"), F.lit(")")))
+        .when(number == 2, F.concat(F.lit("exec(source"), F.col("l_partkey"), F.lit("); exec(tail)")))
+        .when(number == 3, F.lit("run(command, shell =\n    True)"))
+        .when(number == 4, F.lit("db.execute(f\"SELECT {column} FROM t\")"))
+        .when(number == 5, F.lit("get(url, verify = False)  # import os"))
+        .when(number == 6, F.concat(F.lit("from package"), F.col("l_suppkey"), F.lit(" import load\npickle.loads(blob)")))
+        .otherwise(F.concat(F.lit("import module"), F.col("l_partkey"), F.lit("\nAPI_KEY = 'abcdefgh"),
+                            F.col("l_partkey"), F.lit("'")))
+    )
+
+
 def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One script per order, one statement per line item: gives every security rule hits."""
+    """One script of three statements per line item: gives every security rule hits."""
     lineitem = table(spark, sf_dir, "lineitem")
-    statement = (
-        F.when(F.col("l_linenumber") == 1, F.concat(F.lit("value = eval (row"), F.col("l_partkey"), F.lit(")")))
-        .when(F.col("l_linenumber") == 2, F.concat(F.lit("exec(source"), F.col("l_partkey"), F.lit("); exec(tail)")))
-        .when(F.col("l_linenumber") == 3, F.lit("run(command, shell =\n    True)"))
-        .when(F.col("l_linenumber") == 4, F.lit("db.execute(f\"SELECT {column} FROM t\")"))
-        .when(F.col("l_linenumber") == 5, F.lit("get(url, verify = False)  # import os"))
-        .when(F.col("l_linenumber") == 6, F.concat(F.lit("from package"), F.col("l_suppkey"), F.lit(" import load\npickle.loads(blob)")))
-        .otherwise(F.concat(F.lit("import module"), F.col("l_partkey"), F.lit("\nAPI_KEY = 'abcdefgh"), F.col("l_partkey"), F.lit("'")))
-    )
-    items = lineitem.groupBy("l_orderkey").agg(
-        F.array_join(
-            F.array_sort(F.collect_list(F.struct("l_linenumber", statement.alias("line"))))["line"], "\n"
-        ).alias("code")
-    )
     folder = F.when(F.col("l_orderkey") % 10 == 0, "tests/s").otherwise("src/s")
-    keyed = with_target(items, F.concat(F.lit("repo"), (F.col("l_orderkey") % 97).cast("string")))
+    keyed = with_target(lineitem, F.concat(F.lit("repo"), (F.col("l_orderkey") % 97).cast("string")))
     return keyed.select(
-        F.col("l_orderkey").alias("sample_id"), "repository_id", "snapshot_id", "head_sha", "code",
-        F.concat(folder, F.col("l_orderkey").cast("string"), F.lit(".py")).alias("path"),
+        "repository_id", "snapshot_id", "head_sha",
+        F.concat_ws("\n", _statement(F.col("l_linenumber")), _statement(F.col("l_partkey") % 7),
+                    _statement(F.col("l_suppkey") % 9)).alias("code"),
+        F.concat(folder, F.col("l_orderkey"), F.lit("/m"), F.col("l_linenumber"), F.lit("_"),
+                 F.col("l_partkey"), F.lit(".py")).alias("path"),
     )
 
 
-SCRIPT_FILES_SQL = """
-SELECT l_orderkey AS sample_id, 'repo' || (l_orderkey % 97) AS repository_id,
-       CASE WHEN l_orderkey % 10 = 0 THEN 'tests/s' ELSE 'src/s' END || l_orderkey || '.py' AS path,
-       string_agg(CASE l_linenumber
-           WHEN 1 THEN 'value = eval (row' || l_partkey || ')'
-           WHEN 2 THEN 'exec(source' || l_partkey || '); exec(tail)'
-           WHEN 3 THEN 'run(command, shell =' || chr(10) || '    True)'
-           WHEN 4 THEN 'db.execute(f"SELECT {column} FROM t")'
-           WHEN 5 THEN 'get(url, verify = False)  # import os'
-           WHEN 6 THEN 'from package' || l_suppkey || ' import load' || chr(10) || 'pickle.loads(blob)'
-           ELSE 'import module' || l_partkey || chr(10) || 'API_KEY = ''abcdefgh' || l_partkey || ''''
-         END, chr(10) ORDER BY l_linenumber, CASE l_linenumber
-           WHEN 1 THEN 'value = eval (row' || l_partkey || ')'
-           WHEN 2 THEN 'exec(source' || l_partkey || '); exec(tail)'
-           WHEN 3 THEN '' WHEN 4 THEN '' WHEN 5 THEN ''
-           WHEN 6 THEN 'from package' || l_suppkey || ' import load' || chr(10) || 'pickle.loads(blob)'
-           ELSE 'import module' || l_partkey || chr(10) || 'API_KEY = ''abcdefgh' || l_partkey || ''''
-         END) AS code
-FROM lineitem GROUP BY l_orderkey
-"""
+def _statement_sql(number: str) -> str:
+    return f"""CASE {number}
+   WHEN 1 THEN 'value = eval (row' || l_partkey || ')'
+   WHEN 2 THEN 'exec(source' || l_partkey || '); exec(tail)'
+   WHEN 3 THEN 'run(command, shell =' || chr(10) || '    True)'
+   WHEN 4 THEN 'db.execute(f"SELECT {{column}} FROM t")'
+   WHEN 5 THEN 'get(url, verify = False)  # import os'
+   WHEN 6 THEN 'from package' || l_suppkey || ' import load' || chr(10) || 'pickle.loads(blob)'
+   ELSE 'import module' || l_partkey || chr(10) || 'API_KEY = ''abcdefgh' || l_partkey || '''' END"""
+
+
+SCRIPT_FILES_SQL = f"""
+SELECT 'repo' || (l_orderkey % 97) AS repository_id,
+  CASE WHEN l_orderkey % 10 = 0 THEN 'tests/s' ELSE 'src/s' END || l_orderkey || '/m' || l_linenumber || '_' || l_partkey || '.py' AS path,
+  concat_ws(chr(10), {_statement_sql("l_linenumber")}, {_statement_sql("l_partkey % 7")}, {_statement_sql("l_suppkey % 9")}) AS code
+FROM lineitem"""
