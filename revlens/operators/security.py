@@ -58,41 +58,33 @@ def scan_code(samples: DataFrame, rules: Sequence[Rule] = RULES, code: str = "co
 
     A mark is put before each match, the text is cut into lines, and marks are
     counted per line. That is linear in the text, keeps every match, stays in the
-    row and so never shuffles; texts without a hit leave after the first filter.
+    row and so never shuffles.
     """
-    clean = F.translate(F.col(code), _MARK, "\x02")
-    hits = F.array_compact(
-        F.array(*[F.when(F.col(code).rlike(rule.pattern), F.lit(index)) for index, rule in enumerate(rules)])
-    )
     kept = [name for name in samples.columns if name != code]
-    marked = _rule_case(
-        rules, lambda rule: F.regexp_replace(F.col("_clean"), rule.pattern, f"{_MARK}$0")
-    )
-    per_line = F.filter(
-        F.transform(
-            F.split("_marked", "\n", -1),
-            lambda line, index: F.struct(
-                (index + 1).cast("long").alias("line"),
-                (F.length(line) - F.length(F.translate(line, _MARK, ""))).alias("hits"),
-            ),
-        ),
-        lambda item: item["hits"] > 0,
-    )
-    lines = (
-        samples.withColumn("_hits", hits)
-        .filter(F.size("_hits") > 0)
-        .select(*kept, clean.alias("_clean"), F.explode("_hits").alias("_rule"))
-        .select(*kept, "_rule", marked.alias("_marked"))
-        .select(*kept, "_rule", F.explode(per_line).alias("_at"))
+    clean = F.translate(F.col(code), _MARK, "\x02")
+    marked = F.array(*[
+        F.struct(
+            F.lit(index).alias("rule"),
+            F.regexp_replace(clean, rule.pattern, f"{_MARK}$0").alias("text"),
+        )
+        for index, rule in enumerate(rules)
+    ])
+    hits = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit(_MARK), F.lit("")))
+    repeated = (
+        samples.select(*kept, F.explode(marked).alias("_m"))
+        .filter(F.contains(F.col("_m.text"), F.lit(_MARK)))
+        .select(*kept, F.col("_m.rule").alias("_rule"), F.posexplode(F.split("_m.text", "\n", -1)).alias("_at", "_line"))
+        .filter(F.contains("_line", F.lit(_MARK)))
+        .select(*kept, "_rule", (F.col("_at") + 1).cast("long").alias("line"),
+                F.explode(F.sequence(F.lit(1), hits)).alias("_n"))
     )
-    return lines.select(
+    return repeated.select(
         *kept,
         _rule_case(rules, lambda rule: F.lit(rule.rule_id)).alias("rule_id"),
         _rule_case(rules, lambda rule: F.lit(rule.severity)).alias("severity"),
         _rule_case(rules, lambda rule: F.lit(rule.evidence)).alias("evidence"),
-        F.col("_at.line").alias("line"),
-        F.col("_at.hits").alias("_n"),
-    ).withColumn("_n", F.explode(F.expr("array_repeat(0, _n)"))).drop("_n")
+        "line",
+    )
 
 
 def security_rollup(signals: DataFrame, targets: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:
