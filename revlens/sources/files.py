@@ -15,9 +15,9 @@ MAX_SAMPLE_BYTES = 250_000
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """``path, length, content`` below ``root``; filters on ``length`` reach the scan."""
-    prefix = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toString().rstrip("/") + "/"
+    prefix = "/" + root.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.substring_index("path", prefix, -1)
+    relative = F.substr("path", F.locate(prefix, F.col("path")) + len(prefix))
     return raw.select(relative.alias("path"), "length", "content")
 
 
