@@ -277,7 +277,7 @@ ORDERS_SQL = """(SELECT *, o_orderkey AS k, o_custkey AS c, o_orderkey % 50 + 1
   sha256(o_orderkey::VARCHAR) AS sha, epoch(o_orderdate)::BIGINT AS epoch, o_orderkey::VARCHAR AS repository_id FROM orders)"""
 COMMITS_SQL = f"""
 SELECT repository_id, sha AS commit_sha, epoch AS "timestamp", o_orderpriority || chr(10) || 'body ' || c AS commit_message,
-  2 AS files_changed, c AS additions, a AS deletions FROM {ORDERS_SQL}
+  2::BIGINT AS files_changed, c AS additions, a AS deletions FROM {ORDERS_SQL}
 UNION ALL SELECT repository_id, sha || 'b', epoch, o_orderstatus, 1, b, 0 FROM {ORDERS_SQL}"""
 FILES_SQL = f"""
 SELECT repository_id, 'src/m' || c || '.py' AS path, 'modified' AS status, c AS additions, a AS deletions, false AS "binary" FROM {ORDERS_SQL}
@@ -332,7 +332,7 @@ SELECT files_changed::BIGINT AS files_changed, count(*) AS commits_analyzed, rou
   round(median(deletions), {PLACES})::DOUBLE AS median_deletions FROM ({COMMITS_SQL}) GROUP BY files_changed""",
     "changed_files": FILES_SQL,
     "changed_hunks": f"""
-SELECT repository_id, 'src/m' || c || '.py' AS path, a AS old_start, 1 AS old_lines, b AS new_start, 2 AS new_lines,
+SELECT repository_id, 'src/m' || c || '.py' AS path, a AS old_start, 1::BIGINT AS old_lines, b AS new_start, 2::BIGINT AS new_lines,
   'def f' || c || '():' AS header, 'new ' || k || '|++ plus ' || k AS added_lines, 'old ' || k AS removed_lines FROM {ORDERS_SQL}
 UNION ALL SELECT repository_id, 'gone.py', 1, a, 0, 0, '', '', 'line|- dash ' || k FROM {ORDERS_SQL}""",
     "change_features": f"""
@@ -342,8 +342,8 @@ v AS (SELECT repository_id, unnest([('change_files', n), ('change_hunks', 2), ('
   ('change_churn', a + d), ('change_subsystems', s), ('change_test_file_ratio', round(1.0 / n, {PLACES})), ('change_binary_files', 1)]) AS x FROM f)
 SELECT repository_id, x[1] AS name, x[2]::DOUBLE AS value, 'change_structure' AS family, 'high' AS reliability FROM v""",
     "change_contexts": f"""
-SELECT repository_id, 'main' AS branch, o_orderstatus = 'P' AS dirty, CASE WHEN o_orderstatus = 'P' THEN 6 ELSE 5 END AS changed_files,
-  2 AS changed_hunks, (2 - (o_orderstatus = 'O')::INT - (o_orderpriority = '5-LOW')::INT) / 2.0::DOUBLE AS context_completeness,
+SELECT repository_id, 'main' AS branch, o_orderstatus = 'P' AS dirty, CASE WHEN o_orderstatus = 'P' THEN 6 ELSE 5 END::BIGINT AS changed_files,
+  2::BIGINT AS changed_hunks, (2 - (o_orderstatus = 'O')::INT - (o_orderpriority = '5-LOW')::INT) / 2.0::DOUBLE AS context_completeness,
   concat_ws(',', CASE WHEN o_orderstatus = 'O' THEN 'base_sha' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'intent' END) AS missing_context
 FROM {ORDERS_SQL}""",
     "snapshots": f"""
