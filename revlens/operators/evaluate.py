@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import metric_key
 from ..session import materialise
@@ -112,7 +113,7 @@ def assign_folds(samples: DataFrame, folds: int, greedy_groups: int = 1000) -> D
         fold = loads.index(min(loads))
         loads[fold] += row["n"]
         placed.append((row["group_id"], fold))
-    schema = sizes.select("group_id").schema.add("_fold", "int")
+    schema = T.StructType([sizes.schema["group_id"], T.StructField("_fold", T.IntegerType())])
     table = samples.sparkSession.createDataFrame(placed, schema)
     hashed = F.pmod(F.xxhash64("group_id"), F.lit(folds)).cast("int")
     return samples.join(F.broadcast(table), "group_id", "left").withColumn(
