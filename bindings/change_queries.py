@@ -11,6 +11,7 @@ from revlens.functions import paths
 from revlens.operators import features, ownership
 from revlens.schemas import TARGET
 from revlens.sources import files as file_sources
+from revlens.session import spread
 from revlens.sources import git_text
 
 from .inputs import table, with_target
@@ -29,7 +30,7 @@ def text_of(*parts):
 
 
 def orders(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").withColumns({
+    rows = spread(table(spark, sf_dir, "orders")).withColumns({
         "k": F.col("o_orderkey"), "c": F.col("o_custkey"),
         "a": F.col("o_orderkey") % 50 + 1, "b": F.col("o_orderkey") % 60 + 1,
         "sha": F.sha2(F.col("o_orderkey").cast("string"), 256),

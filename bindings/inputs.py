@@ -97,7 +97,7 @@ def _statement(number: Column) -> Column:
 
 def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One script of three statements per line item: gives every security rule hits."""
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = spread(table(spark, sf_dir, "lineitem"))
     folder = F.when(F.col("l_orderkey") % 10 == 0, "tests/s").otherwise("src/s")
     keyed = with_target(lineitem, F.concat(F.lit("repo"), (F.col("l_orderkey") % 97).cast("string")))
     return keyed.select(

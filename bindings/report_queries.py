@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revlens.operators import evidence, features
 from revlens.plans import assessment, report
 from revlens.schemas import TARGET
+from revlens.session import materialise
 
 from . import evidence_queries
 from .evidence_queries import ORACLES as EVIDENCE_ORACLES, findings_sql
@@ -23,7 +24,7 @@ def commits(spark, sf_dir):
 
 def repository_reports(spark, sf_dir):
     inputs = evidence_queries.review_inputs(spark, sf_dir)
-    found = assessment.repository_findings(**inputs)
+    found = materialise(assessment.repository_findings(**inputs), "findings")
     verdicts = assessment.assess_repositories(found, inputs["targets"])
     samples = document_samples(spark, sf_dir)
     values = features.aggregate_feature_values(features.repository_features(samples), "repository")
@@ -42,7 +43,7 @@ def repository_reports(spark, sf_dir):
 
 def assessment_documents(spark, sf_dir):
     inputs = evidence_queries.review_inputs(spark, sf_dir)
-    found = assessment.repository_findings(**inputs)
+    found = materialise(assessment.repository_findings(**inputs), "findings")
     documents = report.assessment_documents(assessment.assess_repositories(found, inputs["targets"]), found)
     field = lambda path: F.get_json_object("document", path)
     return documents.select(

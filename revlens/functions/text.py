@@ -37,6 +37,14 @@ PYTHON_KEYWORDS = (
 )
 
 
+def each(array: Column) -> Column:
+    """Explode a computed array without the size filter Spark infers for a plain column.
+
+    That filter is pushed below the projection and would compute the array twice.
+    """
+    return F.explode(F.slice(array, F.lit(1), F.lit(1 << 30)))
+
+
 def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -90,12 +98,11 @@ def sum_of(array: Column, value=lambda item: item) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda total, item: total + value(item).cast("double"))
 
 
-def mean_and_std(lengths: Column) -> tuple[Column, Column]:
-    """Mean and population deviation of an integer array, both 0 when it is empty."""
-    count = F.greatest(F.size(lengths), F.lit(1)).cast("double")
-    mean = sum_of(lengths) / count
-    square = sum_of(lengths, lambda item: item.cast("double") * item.cast("double")) / count
-    return mean, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+def deviation(count: Column, total: Column, squares: Column) -> Column:
+    """Population deviation from a count, a sum and a sum of squares; 0 for no items."""
+    size = F.greatest(count, F.lit(1)).cast("double")
+    mean = total / size
+    return F.sqrt(F.greatest(squares / size - mean * mean, F.lit(0.0)))
 
 
 def shannon_entropy(items: Column) -> Column:

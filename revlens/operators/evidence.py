@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, sha256_hex
+from ..functions.text import each
 from ..schemas import TARGET, TEST_OUTCOMES, TEST_REPORT, WEAK_ATTESTATIONS
 
 
@@ -115,7 +116,7 @@ def test_runs(executions: DataFrame) -> DataFrame:
 
 
 def test_cases(runs: DataFrame) -> DataFrame:
-    return runs.select(*TARGET, F.explode("test_cases").alias("_c")).select(*TARGET, "_c.*")
+    return runs.select(*TARGET, each(F.col("test_cases")).alias("_c")).select(*TARGET, "_c.*")
 
 
 def test_artifacts(runs: DataFrame) -> DataFrame:

@@ -76,18 +76,20 @@ def _count_where(array: Column, condition) -> Column:
     return F.size(F.filter(array, condition))
 
 
+def _squares(items: str) -> Column:
+    """Sum of squared lengths of an array of texts."""
+    return text.sum_of(F.col(items), lambda item: F.length(item) * F.length(item))
+
+
 def _count_words(words: Column, wanted: Sequence[str]) -> Column:
     return F.size(F.filter(words, lambda word: word.isin(*wanted)))
 
 
 def lexical_columns(code: Column, language: Column) -> dict[str, Column]:
     """Arrays every lexical feature is computed from; each is one pass over the text."""
-    names = text.group_tokens(code, 1)
     return {
         "_lines": text.lines_of(code),
         "_tokens": text.extract_all(code, text.TOKEN),
-        "_names": names,
-        "_operators": F.size(text.group_tokens(code, 3)),
         "_words": text.words_of(code),
         "_comment": text.comment_characters(code, language),
         "_quoted": F.regexp_count(code, F.lit(text.QUOTED)),
@@ -108,18 +110,25 @@ def sample_features(samples: DataFrame, structure: DataFrame | None = None) -> D
     keyword_set = text.PYTHON_KEYWORDS
     frame = frame.withColumns({
         "_nonblank": F.filter("_lines", lambda line: ~text.is_blank(line)),
-        "_identifiers": F.filter("_names", lambda name: ~name.isin(*keyword_set)),
+        "_names": F.filter("_tokens", lambda token: token.rlike("^[A-Za-z_]")),
+        "_figures": F.size(F.filter("_tokens", lambda token: token.rlike(r"^\p{Nd}"))),
     })
     frame = frame.withColumns({
-        "_line_lengths": F.transform("_nonblank", F.length),
+        "_identifiers": F.filter("_names", lambda name: ~name.isin(*keyword_set)),
         "_indents": F.transform("_nonblank", text.indent_width),
-        "_name_lengths": F.transform("_identifiers", F.length),
+        "_line_sum": F.length(F.array_join("_nonblank", "")).cast("double"),
+        "_line_squares": _squares("_nonblank"),
+    })
+    frame = frame.withColumns({
+        "_name_sum": F.length(F.array_join("_identifiers", "")).cast("double"),
+        "_name_squares": _squares("_identifiers"),
     })
     lines, nonblank = F.size("_lines"), F.size("_nonblank")
     tokens, identifiers = F.size("_tokens"), F.size("_identifiers")
-    line_mean, line_std = text.mean_and_std(F.col("_line_lengths"))
-    name_mean, name_std = text.mean_and_std(F.col("_name_lengths"))
-    indent_mean, _ = text.mean_and_std(F.col("_indents"))
+    line_mean, name_mean = _share(F.col("_line_sum"), nonblank), _share(F.col("_name_sum"), identifiers)
+    line_std = text.deviation(nonblank, F.col("_line_sum"), F.col("_line_squares"))
+    name_std = text.deviation(identifiers, F.col("_name_sum"), F.col("_name_squares"))
+    indent_mean = _share(text.sum_of(F.col("_indents")), nonblank)
     added, removed = F.col("additions"), F.col("deletions")
     churn = added + removed
     space = text.SPACE_CLASS
@@ -145,7 +154,7 @@ def sample_features(samples: DataFrame, structure: DataFrame | None = None) -> D
         "token_count": tokens,
         "unique_token_fraction": _share(F.size(F.array_distinct("_tokens")), tokens),
         "keyword_density": _share(F.size("_names") - identifiers, tokens),
-        "operator_density": _share(F.col("_operators"), tokens),
+        "operator_density": _share(tokens - F.size("_names") - F.col("_figures"), tokens),
         "todo_count": _count_where(F.col("_words"), lambda word: F.upper(word).isin(*TODO_WORDS)),
         "trailing_whitespace_fraction": _share(
             _count_where(F.col("_lines"), lambda line: line.rlike(rf"[{space}]\z")), lines
