@@ -23,7 +23,7 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 def decode(content) -> F.Column:
     """UTF-8 text with replacement marks for undecodable bytes."""
-    return F.decode(content, "UTF-8")
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def code_samples(files: DataFrame, keys: Sequence[str] = TARGET, max_bytes: int = MAX_SAMPLE_BYTES) -> DataFrame:
