@@ -58,6 +58,14 @@ def source_files(spark, sf_dir):
     return head.unionByName(base).unionByName(tests)
 
 
+def all_facts(spark, sf_dir):
+    return materialise(structure.python_facts(source_files(spark, sf_dir)), "facts")
+
+
+def head_side(facts):
+    return facts.filter(F.col("side") == "head").drop("side")
+
+
 def head_facts(spark, sf_dir):
     head = source_files(spark, sf_dir).filter(F.col("side") == "head").drop("side")
     return materialise(structure.python_facts(head), "facts")
@@ -77,9 +85,9 @@ def hunk_rows(spark, sf_dir):
     )
 
 
-def symbol_index(spark, sf_dir):
+def symbol_index(spark, sf_dir, facts=None):
     changes, failed, unsupported = structure.changed_symbol_index(
-        change_rows(spark, sf_dir), source_files(spark, sf_dir)
+        change_rows(spark, sf_dir), facts or all_facts(spark, sf_dir)
     )
     return materialise(changes, "changes"), failed, unsupported
 
@@ -125,7 +133,7 @@ def affected_hunks(spark, sf_dir):
 
 
 def innermost_symbols(spark, sf_dir):
-    part, lineitem = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    part, lineitem = table(spark, sf_dir, "part"), spread(table(spark, sf_dir, "lineitem"))
     points = with_target(
         lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")), F.col("p_type")
     ).select(*TARGET, F.col("p_brand").alias("path"), F.col("l_quantity").cast("long").alias("line"))
@@ -155,10 +163,11 @@ def dependency_nodes(spark, sf_dir):
 
 
 def dependency_impacts(spark, sf_dir):
-    facts = head_facts(spark, sf_dir)
+    both = all_facts(spark, sf_dir)
+    facts = head_side(both)
     symbols = structure.symbols(facts)
     edges = materialise(graph.dependency_edges(facts, symbols), "dependency")
-    changes, _, _ = symbol_index(spark, sf_dir)
+    changes, _, _ = symbol_index(spark, sf_dir, both)
     pairs = graph.links(edges, graph.IMPACT_KINDS)
     reach = graph.reverse_reach(changes.select(*TARGET, F.col("symbol_id").alias("seed")), pairs, 4)
     nodes = graph.dependency_nodes(facts, symbols, edges)
@@ -167,10 +176,11 @@ def dependency_impacts(spark, sf_dir):
 
 
 def relevance_frames(spark, sf_dir):
-    facts = head_facts(spark, sf_dir)
+    both = all_facts(spark, sf_dir)
+    facts = head_side(both)
     symbols = structure.symbols(facts)
     edges = materialise(graph.dependency_edges(facts, symbols), "dependency")
-    changes, _, _ = symbol_index(spark, sf_dir)
+    changes, _, _ = symbol_index(spark, sf_dir, both)
     seeds = materialise(relevance.relevance_seeds(changes), "seeds")
     tests = relevance.test_inventory(symbols)
     events = table(spark, sf_dir, "events")
@@ -232,7 +242,7 @@ LINK_SPAN = 1000
 
 def supplier_links(spark, sf_dir):
     """Links between parts within a supplier, two names hashed from each line item."""
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = spread(table(spark, sf_dir, "lineitem"))
     return with_target(lineitem, F.col("l_suppkey")).select(
         *TARGET, F.concat(F.lit("n"), F.col("l_partkey") % LINK_SPAN).alias("source"),
         F.concat(F.lit("n"), (F.col("l_partkey") * 7 + F.col("l_orderkey")) % LINK_SPAN).alias("target"),
