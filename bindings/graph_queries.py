@@ -87,7 +87,7 @@ def hunk_rows(spark, sf_dir):
 
 def symbol_index(spark, sf_dir, facts=None):
     changes, failed, unsupported = structure.changed_symbol_index(
-        change_rows(spark, sf_dir), facts or all_facts(spark, sf_dir)
+        change_rows(spark, sf_dir), all_facts(spark, sf_dir) if facts is None else facts
     )
     return materialise(changes, "changes"), failed, unsupported
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import assess, evidence, gates, security
 from ..operators.validation import union_all
 from ..schemas import TARGET
+from ..session import materialise
 
 
 def working_tree_requests(targets: DataFrame) -> DataFrame:
@@ -37,8 +38,10 @@ def repository_findings(
     """All nine findings per target.
 
     ``targets`` carry ``intent`` and ``tests_passed``. Every input meets its target by
-    an equi join after it was reduced to one row per target.
+    an equi join after it was reduced to one row per target; the targets themselves feed
+    nine findings and are stored once.
     """
+    targets = materialise(targets, "targets")
     signals = security.scan_code(samples.select(*keys, "path", "code"))
     return union_all([
         assess.sufficiency_finding(targets, keys),

@@ -34,7 +34,7 @@ def build_session(app_name: str = "revlens", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names, else a local test folder."""
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
     if not context.master.startswith("local"):
@@ -69,6 +69,6 @@ def spread(scan: DataFrame) -> DataFrame:
 def broadcast_if_bounded(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only after counting ``df``; above the limit the join shuffles.
 
-    ``df`` should be a stored table, so that the bounded count costs next to nothing.
+    ``df`` must be a stored table: its count comes from file footers.
     """
-    return F.broadcast(df) if df.limit(row_limit + 1).count() <= row_limit else df
+    return F.broadcast(df) if df.count() <= row_limit else df
