@@ -114,7 +114,8 @@ def ranking_metrics(spark, sf_dir):
 
 
 def bootstrap_interval(spark, sf_dir):
-    return evaluate.bootstrap_macro_f1(predictions(spark, sf_dir))
+    rows = evaluate.bootstrap_macro_f1(predictions(spark, sf_dir))
+    return rows.select(*[F.round(name, PLACES).alias(name) for name in rows.columns])
 
 
 def estimates(spark, sf_dir):
@@ -319,7 +320,21 @@ UNION ALL SELECT 'swebench-lite', 'conv__' || conv_id || '-' || turn, 'issue_pat
 UNION ALL SELECT 'devgpt', r, 'ai_assisted_trace', 'ai_link_association', '{catalog.DEVGPT["source_url"]}', h, 'devgpt/' || r || '.json'
 FROM (SELECT sha256(url || chr(31) || url || '#' || page_id)[:20] AS r, sha256('{{"MentionedURL":"' || url || '#' || page_id || '","URL":"' || url || '"}}') AS h FROM pages)"""
 
+_thresholds = ", ".join(repr(value) for value in evaluate.poisson_thresholds())
+BOOTSTRAP_SQL = f"""
+WITH cells AS (SELECT group_id, label, predicted, count(*) AS n FROM {PREDICTED_SQL} GROUP BY ALL),
+drawn AS (SELECT *, unnest(range(1, 201)) AS replicate FROM cells),
+weighted AS (SELECT label, predicted, replicate, n * len(list_filter([{_thresholds}]::DOUBLE[], lambda x: x <=
+  ('0x' || sha256('42:' || group_id || ':' || replicate)[:8])::BIGINT / 4294967296.0::DOUBLE)) AS n FROM drawn),
+per_class AS (SELECT replicate, class, sum(n) FILTER (label = class) AS support, sum(n) FILTER (predicted = class) AS guessed,
+  sum(n) FILTER (label = class AND predicted = class) AS hit
+  FROM weighted CROSS JOIN (VALUES ('ai'), ('human'), ('hybrid')) v(class) GROUP BY ALL),
+scores AS (SELECT replicate, avg(2 * coalesce(hit, 0) / (coalesce(support, 0) + coalesce(guessed, 0))) AS f1 FROM per_class
+  WHERE coalesce(support, 0) + coalesce(guessed, 0) > 0 GROUP BY replicate)
+SELECT round(quantile_cont(f1, 0.025), {PLACES}) AS macro_f1_ci_low, round(quantile_cont(f1, 0.975), {PLACES}) AS macro_f1_ci_high FROM scores"""
+
 ORACLES = {
+    "bootstrap_interval": BOOTSTRAP_SQL,
     "oracle_results": f"""
 SELECT fixture_id, oracle, supported AND hit AS detected, expected_detection, CASE WHEN hit THEN 'SECRET-LITERAL' ELSE '' END AS matched_rule_ids,
   supported, CASE WHEN supported THEN '' ELSE '{evaluate.UNSUPPORTED_NOTE}' END AS notes FROM {ORACLES_SQL}""",

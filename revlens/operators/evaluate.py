@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import short_digest
 from ..functions.paths import metric_key
 from ..session import materialise
 from .security import RULES, Rule, scan_code
@@ -281,13 +283,13 @@ def ranking_metrics(predictions: DataFrame, classes: Sequence[str]) -> DataFrame
     )
 
 
+def poisson_thresholds(terms: int = 12) -> list[float]:
+    """Cumulative probabilities of a unit-rate Poisson variable."""
+    return list(accumulate(math.exp(-1) / math.factorial(k) for k in range(terms)))
+
+
 def _poisson_draw(uniform: Column) -> Column:
-    """Value of a unit-rate Poisson variable for a uniform number (fixed thresholds)."""
-    thresholds, total = [], 0.0
-    for k in range(12):
-        total += math.exp(-1) / math.factorial(k)
-        thresholds.append(total)
-    return F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda cut: cut <= uniform))
+    return F.size(F.filter(F.array(*map(F.lit, poisson_thresholds())), lambda cut: cut <= uniform))
 
 
 def bootstrap_macro_f1(
@@ -300,7 +302,8 @@ def bootstrap_macro_f1(
     """
     cells = predictions.groupBy("group_id", "label", "predicted").agg(F.count(F.lit(1)).alias("n"))
     drawn = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    uniform = F.pmod(F.xxhash64(F.lit(seed), "group_id", "replicate"), F.lit(1 << 30)) / float(1 << 30)
+    named = F.concat_ws(":", F.lit(str(seed)), "group_id", F.col("replicate").cast("string"))
+    uniform = F.conv(short_digest(named, 8), 16, 10).cast("long") / float(1 << 32)
     weighted = drawn.withColumn("n", F.col("n") * _poisson_draw(uniform)).filter(F.col("n") > 0)
     matrix = weighted.groupBy("replicate", "label", "predicted").agg(F.sum("n").alias("n"))
     scores = overall_metrics(class_metrics(matrix, ("replicate",)), ("replicate",))

@@ -14,7 +14,7 @@ CHECKED = (
 def test_every_oracle_has_a_query():
     queries, oracles = registered.queries(), registered.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"bootstrap_interval", "model_estimates", "out_of_fold_metrics"}
+    assert set(queries) - set(oracles) == {"model_estimates", "out_of_fold_metrics"}
 
 
 def test_entry(spark):
