@@ -12,7 +12,7 @@ from revlens.session import materialise
 from . import evidence_queries
 from .evidence_queries import ORACLES as EVIDENCE_ORACLES, findings_sql
 from .inputs import document_samples, table, with_target
-from .text_queries import BREAK, PLACES, S, _lines
+from .text_queries import PLACES, S, _lines
 
 
 def commits(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions import paths, text
+from revlens.functions import text
 from revlens.operators import features, reuse, security
 from revlens.session import materialise
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.operators import assess, evidence, gates, validation
-from revlens.schemas import ACTION_DIMENSIONS, DIMENSIONS, FINDINGS, TARGET
+from revlens.schemas import ACTION_DIMENSIONS, DIMENSIONS, FINDINGS
 from revlens.plans import assessment
 
 KEYS = "repository_id STRING, snapshot_id STRING, head_sha STRING"
