@@ -56,6 +56,25 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class TwoSlots:
+    """Storage of a loop that needs only its last table.
+
+    Tables are written to two folders in turn, each replacing the one before the last, so
+    a long loop holds two tables and not all of them. A frame read from here is valid
+    until the second store after its own.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        base = f"{shared_folder(spark).rstrip('/')}/revlens-{name}-{uuid.uuid4().hex}"
+        self._paths = [f"{base}-0", f"{base}-1"]
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = self._paths[0]
+        df.write.mode("overwrite").parquet(path)
+        self._paths.reverse()
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than cores one partition per core.
 
