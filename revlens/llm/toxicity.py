@@ -67,23 +67,27 @@ class LinearModel:
         self.weights, self.offset = weights, offset
 
     @classmethod
-    def fit(cls, rows: np.ndarray, target: np.ndarray, penalty: float = 2e-4, steps: int = 300) -> LinearModel:
-        share = target.mean() if len(target) else 0.0
+    def fit(cls, rows: np.ndarray, target: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> LinearModel:
+        """Columns are scaled by their size, so that rare telling terms are learned as fast as
+        frequent ones; the rarer class weighs more, by the root of the ratio of the classes."""
+        share = float(target.mean()) if len(target) else 0.0
         if share in (0.0, 1.0):
             return cls(np.zeros(rows.shape[1], np.float32), -20.0 if share == 0 else 20.0)
-        design = np.hstack([rows, np.ones((len(rows), 1), np.float32)])
+        scale = (np.sqrt((rows * rows).mean(axis=0)) + 0.02).astype(np.float32)
+        design = np.hstack([rows / scale, np.ones((len(rows), 1), np.float32)])
+        weigh = np.where(target > 0, (share / (1 - share)) ** -0.25, (share / (1 - share)) ** 0.25).astype(np.float32)
         vector = np.random.default_rng(1).normal(size=design.shape[1]).astype(np.float32)
         for _ in range(12):
-            vector = design.T @ (design @ vector)
+            vector = design.T @ (weigh * (design @ vector))
             vector /= np.linalg.norm(vector)
-        bound = float(np.linalg.norm(design.T @ (design @ vector))) / len(rows) / 4 + penalty
+        bound = float(np.linalg.norm(design.T @ (weigh * (design @ vector)))) / len(rows) / 4 + penalty
         now = ahead = np.zeros(design.shape[1], np.float32)
         for step in range(steps):
-            wrong = 1 / (1 + np.exp(-np.clip(design @ ahead, -30, 30))) - target
+            wrong = weigh * (1 / (1 + np.exp(-np.clip(design @ ahead, -30, 30))) - target)
             gradient = design.T @ wrong.astype(np.float32) / len(rows) + penalty * np.append(ahead[:-1], 0)
             after = ahead - (gradient / bound).astype(np.float32)
             now, ahead = after, after + step / (step + 3) * (after - now)
-        return cls(now[:-1], float(now[-1]))
+        return cls(now[:-1] / scale, float(now[-1]))
 
     def probability(self, rows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(rows @ self.weights + self.offset, -30, 30)))
