@@ -18,6 +18,7 @@ import tokenizers
 WORD_LIMIT = 600_000
 ID_BYTES = 4
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_RUNS = re.compile(r"[^\W\d_]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class WordMemory:
@@ -121,21 +122,31 @@ class ByteWords(_Words):
 
 
 class EndedWords(_Words):
-    """Words for a vocabulary whose last id of a word shows its end; only words of letters
-    are joined, each of which is one word to the tokenizer too."""
+    """Words for a vocabulary whose last id of a piece shows its end.
+
+    Words made of letters, ASCII digits and ASCII marks but the apostrophe are joined. Each run of
+    letters, each digit and each run of marks gives at least one piece, so if the joined ids have as
+    many ends as all runs together, every word has just its own number of them.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
         self.ends = np.array([name.endswith("</w>") for name in self.names])
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        joinable = [word for word in words if word.isalpha()]
+        joinable, pieces = [], []
+        for word in words:
+            runs = _RUNS.findall(word)
+            if runs and sum(map(len, runs)) == len(word):
+                joinable.append(word)
+                pieces.append(len(runs))
         known = {}
         if len(joinable) > 1:
             ids = self.joined_ids(" ".join(joinable))
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(joinable):
-                known = dict(zip(joinable, _cut(ids, np.concatenate(([0], ends[:-1])), ends)))
+            if len(ends) == sum(pieces):
+                last = ends[np.cumsum(pieces) - 1]
+                known = dict(zip(joinable, _cut(ids, np.concatenate(([0], last[:-1])), last)))
         rest = [word for word in words if word not in known]
         known.update(zip(rest, self.one_by_one(rest)))
         return [known[word] for word in words]
