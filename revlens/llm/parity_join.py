@@ -7,8 +7,9 @@ a further sketch, whose Hamming distance never exceeds the symmetric difference;
 verified on the whole texts. Nothing similar is missed, but for equal 64-bit hashes.
 
 Groups of copies stay cheap: equal sets are one node; inside a set of nodes that share a piece
-only a spanning forest of passing pairs is verified, and where a verified pair fails, the forest is
-grown again without it until no untested pair could join two components. Sets of nodes that are too
+only a spanning forest of passing pairs is verified first. Where a pair of it fails, a second pass
+verifies every passing pair of such a group that lies between two components by then; those
+are few, as the sketch is close to the true difference. Sets of nodes that are too
 large for one task are compared in blocks.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; texts of
@@ -173,8 +174,25 @@ def _forest(sigs: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, labels: n
     return out
 
 
+def _between(sigs: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, labels: np.ndarray, failed: set, percent: int) -> list[tuple[int, int]]:
+    """All pairs of different ``labels`` that pass the sketch and have not failed."""
+    out = []
+    for row in range(len(sigs) - 1):
+        rest = np.flatnonzero(labels[row + 1 :] != labels[row]) + row + 1
+        apart = np.bitwise_count(sketches[rest] ^ sketches[row]).sum(axis=1, dtype=np.int64)
+        passing = apart * (100 + percent) <= (sizes[rest] + sizes[row]) * (100 - percent)
+        passing &= np.minimum(sizes[rest], sizes[row]) * 100 >= np.maximum(sizes[rest], sizes[row]) * percent
+        for other in rest[passing].tolist():
+            pair = (min(sigs[row], sigs[other]), max(sigs[row], sigs[other]))
+            if pair not in failed:
+                out.append(pair)
+    return out
+
+
 def candidate_pairs(groups: DataFrame, nodes: DataFrame, percent: int, labels: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs ``a, b`` to verify: a forest in each group, given what is known already."""
+    """Distinct pairs ``a, b`` to verify: a forest in each group or, with the labels and failed
+    pairs of a first pass, all passing pairs between components."""
+    pick = _forest if failed is None else _between
     rows = groups.join(nodes.select("sig", "size", "sketch"), "sig")
     rows = rows.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")) if labels is not None else rows.withColumn("label", F.col("sig"))
     rows = rows.select("grp", "sig", "size", "label", "sketch")
@@ -192,7 +210,7 @@ def candidate_pairs(groups: DataFrame, nodes: DataFrame, percent: int, labels: D
                 return []
             column = lambda place: np.array([row[place] for row in real], np.int64)
             sketches = np.frombuffer(b"".join(row[4] for row in real), np.uint64).reshape(-1, _SKETCH_LONGS)
-            return [(int(a), int(b)) for a, b in _forest(column(1), column(2), sketches, column(3), known, percent)]
+            return [(int(a), int(b)) for a, b in pick(column(1), column(2), sketches, column(3), known, percent)]
 
         current, held = None, []
         for batch in batches:
@@ -281,18 +299,15 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     pairs = materialise(candidate_pairs(groups, nodes, percent), "pairs")
     tested = materialise(verify_pairs(pairs, nodes, documents, key, text, width, percent), "tested")
     labels = materialise(components(tested.filter("linked")), "labels")
-    while True:
-        failed = tested.filter(~F.col("linked")).select("a", "b")
-        if not failed.limit(1).count():
-            break
+    failed = tested.filter(~F.col("linked")).select("a", "b")
+    if failed.limit(1).count():
         # Only groups in which a tested pair failed can still hide a link between components.
         doubtful = groups.join(failed.withColumnRenamed("a", "sig"), "sig").join(
             groups.select("grp", F.col("sig").alias("b")), ["grp", "b"]).select("grp").distinct()
         pairs = materialise(candidate_pairs(groups.join(doubtful, "grp", "left_semi"), nodes, percent, labels, failed), "pairs")
-        if not pairs.limit(1).count():
-            break
-        tested = materialise(tested.union(verify_pairs(pairs, nodes, documents, key, text, width, percent)), "tested")
-        labels = materialise(components(tested.filter("linked")), "labels")
+        if pairs.limit(1).count():
+            tested = tested.union(verify_pairs(pairs, nodes, documents, key, text, width, percent))
+            labels = materialise(components(tested.filter("linked")), "labels")
     known = nodes.select("sig", "key").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = known.groupBy("label").agg(F.min("key").alias("component_id"))
     named = known.join(least, "label").select("sig", "component_id")
