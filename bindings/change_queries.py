@@ -154,7 +154,7 @@ def working_tree_samples(spark, sf_dir):
         *TARGET, F.concat(F.col("lang"), F.lit("/f"), F.col("doc_id"), ending).alias("path"),
         F.octet_length("text").cast("long").alias("length"), F.col("text").alias("code"),
     )
-    samples = file_sources.code_samples(files, max_bytes=5000)
+    samples = file_sources.code_samples(files, max_bytes=250_000)
     return samples.select("sample_id", "repository_id", "language", "path", F.sha2("code", 256).alias("digest"))
 
 
@@ -359,7 +359,7 @@ SELECT *, 'snap_' || sha256(concat_ws(chr(31), repository_id, head_sha, tree_has
 SELECT sha256(source || ':' || path)[:20] AS sample_id, source AS repository_id, language, path, sha256(text) AS digest
 FROM (SELECT *, lang || '/f' || doc_id || ['.py', '.JS', '.tsx', '.rs', '.txt', '.md', ''][doc_id % 7 + 1] AS path,
   ['python', 'javascript', 'typescript', 'rust', NULL, NULL, NULL][doc_id % 7 + 1] AS language FROM documents)
-WHERE language IS NOT NULL AND strlen(text) <= 5000""",
+WHERE language IS NOT NULL AND strlen(text) <= 250000""",
     "owner_rules": RULES_SQL,
     "owner_issues": f"""
 WITH h AS (SELECT DISTINCT repository_id FROM ({PAGES_SQL})), i(line, kind, detail) AS (VALUES {_issue_rows})
