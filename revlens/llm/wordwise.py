@@ -160,4 +160,5 @@ def byte_level_memory(path: str) -> WordMemory:
 
 @lru_cache(maxsize=2)
 def ended_word_memory(path: str) -> WordMemory:
-    return WordMemory(EndedWords(path), spaced=False)
+    # This tokenizer takes longest for a new word, so more of them are kept (about 0.3 GB).
+    return WordMemory(EndedWords(path), spaced=False, limit=2 * WORD_LIMIT)
