@@ -8,6 +8,7 @@ import math
 import struct
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -44,10 +45,15 @@ def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-def ids_of(path, text, end=1):
+@lru_cache
+def tokenizer(path):
     tool = tokenizers.Tokenizer.from_file(path)
     tool.encode_special_tokens = True
-    return tool.encode(text or "", add_special_tokens=False).ids + [end]
+    return tool
+
+
+def ids_of(path, text, end=1):
+    return tokenizer(path).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def packed(ids):
