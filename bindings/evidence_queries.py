@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revlens.operators import assess, evidence, gates, validation
 from revlens.plans import assessment
 from revlens.schemas import SEVERITIES, TARGET
+from revlens.session import materialise
 
 from .inputs import DOCUMENT_SAMPLES_SQL, document_samples, table, with_target
 from .text_queries import PLACES, signals_sql
@@ -228,6 +229,17 @@ def review_findings(spark, sf_dir):
     return found.select(
         "repository_id", "dimension", "status", F.round("confidence", PLACES).alias("confidence"),
         "severity", F.array_join("tags", ",").alias("tags"), F.array_join("evidence_refs", "|").alias("refs"), "summary",
+        "reference_count",
+    )
+
+
+def finding_references(spark, sf_dir):
+    inputs = review_inputs(spark, sf_dir)
+    found = materialise(assessment.repository_findings(**inputs), "findings")
+    samples = inputs["samples"]
+    cycles = samples.filter(F.col("additions") > 15000).select(*TARGET, "path", F.lit("ARCH-CYCLE").alias("rule_id"))
+    return assessment.finding_references(found, samples, cycles, inputs["artifacts"], inputs["ledgers"]).select(
+        "repository_id", "dimension", "reference"
     )
 
 
@@ -289,6 +301,7 @@ QUERIES = {
     "outcome_counts": outcome_counts,
     "test_artifacts": test_artifacts,
     "review_findings": review_findings,
+    "finding_references": finding_references,
     "review_actions": review_actions,
     "routed_orders": routed_orders,
 }
@@ -451,6 +464,15 @@ UNION ALL SELECT repository_id, 'functional_evidence', st, CASE st WHEN 'pass' T
       FROM src LEFT JOIN runs USING (repository_id) LEFT JOIN pay USING (repository_id)))"""
 
 
+def references_sql() -> str:
+    signals = signals_sql(DOCUMENT_SAMPLES_SQL, "repository_id, path")
+    return f"""
+SELECT repository_id, dimension, unnest(string_split(refs, '|')) AS reference FROM ({findings_sql()}) WHERE refs <> ''
+UNION ALL SELECT repository_id, 'security_risk', path || ':' || line || ':' || rule_id FROM ({signals})
+UNION ALL SELECT source, 'architectural_compatibility', 'docs/d' || doc_id || '.txt:ARCH-CYCLE' FROM documents WHERE n_chars > 15000
+UNION ALL SELECT repository_id, 'evidence_integrity', 'artifact:' || artifact_id FROM ({ARTIFACTS_SQL}) WHERE real_hash <> content_hash"""
+
+
 def routing_sql(findings: str, requests: str) -> str:
     """``findings``: rid, dimension, status, confidence, severity, tags (comma text);
     ``requests``: rid, target_id, target_kind, tags."""
@@ -545,7 +567,10 @@ SELECT (event_id // 8)::VARCHAR AS repository_id, count(*) FILTER (event_type IN
   0::BIGINT AS xpassed, 0::BIGINT AS error FROM events GROUP BY ALL""",
     "test_artifacts": f"""SELECT repository_id, 'test_report' AS kind, complete, sha256(payload) AS content_hash,
   length(payload) AS size FROM ({PAYLOAD_SQL})""",
-    "review_findings": findings_sql(),
+    "review_findings": f"""
+WITH r AS (SELECT repository_id, dimension, count(*) AS reference_count FROM ({references_sql()}) GROUP BY ALL)
+SELECT f.*, reference_count FROM ({findings_sql()}) f JOIN r USING (repository_id, dimension)""",
+    "finding_references": references_sql(),
     "review_actions": routing_sql(
         f"SELECT repository_id AS rid, * EXCLUDE (repository_id) FROM ({findings_sql()})",
         "SELECT DISTINCT source AS rid, 'working-tree:' || source AS target_id, 'working_tree' AS target_kind, "

@@ -237,15 +237,14 @@ def local_imports(spark, sf_dir):
     return graph.local_import_edges(modules).select("repository_id", "source", "target")
 
 
-LINK_SPAN = 1000
-
-
 def supplier_links(spark, sf_dir):
-    """Links between parts within a supplier, two names hashed from each line item."""
+    """Links within a supplier from a line's part to the part of the next line of its order."""
     lineitem = spread(table(spark, sf_dir, "lineitem"))
-    return with_target(lineitem, F.col("l_suppkey")).select(
-        *TARGET, F.concat(F.lit("n"), F.col("l_partkey") % LINK_SPAN).alias("source"),
-        F.concat(F.lit("n"), (F.col("l_partkey") * 7 + F.col("l_orderkey")) % LINK_SPAN).alias("target"),
+    following = lineitem.select(
+        "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next_part")
+    )
+    return with_target(lineitem.join(following, ["l_orderkey", "l_linenumber"]), F.col("l_suppkey")).select(
+        *TARGET, F.concat(F.lit("n"), "l_partkey").alias("source"), F.concat(F.lit("n"), "next_part").alias("target"),
         "l_returnflag", "l_linestatus",
     )
 
@@ -412,10 +411,10 @@ mutual AS (SELECT w.repository_id, w.source AS node, w.target AS peer FROM walk
 SELECT repository_id, node, min(peer) AS component, count(*) AS size FROM mutual GROUP BY ALL"""
 
 
-CYCLES_SQL = f"""SELECT repository_id, component, size, list(node ORDER BY node) AS nodes FROM ({components_sql(LOCAL_SQL)}) GROUP BY ALL"""
+CYCLES_SQL = f"""SELECT repository_id, component, size FROM ({components_sql(LOCAL_SQL)}) GROUP BY ALL"""
 
-LINKS_SQL = f"""SELECT l_suppkey::VARCHAR AS repository_id, 'n' || (l_partkey % {LINK_SPAN}) AS source,
-  'n' || ((l_partkey * 7 + l_orderkey) % {LINK_SPAN}) AS target, l_returnflag FROM lineitem"""
+LINKS_SQL = """SELECT a.l_suppkey::VARCHAR AS repository_id, 'n' || a.l_partkey AS source, 'n' || b.l_partkey AS target,
+  a.l_returnflag FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"""
 
 _module_metrics = {
     "function_count": 3, "class_count": 1, "import_count": 2, "mean_function_lines": 2, "max_function_lines": 2,
@@ -486,8 +485,8 @@ SELECT repository_id, modules, coalesce(edges, 0) AS edges, coalesce(cycles, 0)
   CASE WHEN f > 0 THEN 'unknown' WHEN cycles > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN f > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence
 FROM m LEFT JOIN e USING (repository_id) LEFT JOIN c USING (repository_id)""",
     "architecture_signals": f"""
-SELECT repository_id, 'ARCH-CYCLE' AS rule_id, 'high' AS severity, component AS path,
-  'Local dependency cycle: ' || array_to_string(list_append(nodes, nodes[1]), ' → ') AS evidence FROM ({CYCLES_SQL})
+SELECT repository_id, 'ARCH-CYCLE' AS rule_id, 'high' AS severity, replace(component, '.', '/') || '.py' AS path,
+  'Local dependency cycle: ' || size || ' module(s) around ' || component AS evidence FROM ({CYCLES_SQL})
 UNION ALL SELECT repository_id, 'ARCH-PARSE', 'high', 'pkg/m' || k || '.py', 'Cannot establish dependency evidence: invalid syntax' FROM {PARTS_SQL} WHERE size = 49""",
     "local_imports": LOCAL_SQL,
     "reverse_reach": reach_sql(

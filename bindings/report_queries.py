@@ -10,7 +10,7 @@ from revlens.schemas import TARGET
 from revlens.session import materialise
 
 from . import evidence_queries
-from .evidence_queries import ORACLES as EVIDENCE_ORACLES, findings_sql
+from .evidence_queries import ARTIFACTS_SQL, ORACLES as EVIDENCE_ORACLES, findings_sql
 from .inputs import document_samples, table, with_target
 from .text_queries import PLACES, S, _lines
 
@@ -56,16 +56,15 @@ def assessment_documents(spark, sf_dir):
 def ledger_documents(spark, sf_dir):
     artifacts, claims = evidence_queries.artifacts(spark, sf_dir), evidence_queries.claims(spark, sf_dir)
     ledgers = evidence_queries.ledger_targets(spark, sf_dir)
-    documents, _ = report.ledger_documents(
-        ledgers, artifacts.withColumn("payload", F.sha2("payload", 256)), claims.withColumn("claim", F.lit("c")),
-        evidence.ledger_integrity(artifacts, ledgers),
-    )
-    field = lambda path: F.get_json_object("document", path)
+    documents = report.ledger_documents(ledgers, artifacts, claims, evidence.ledger_integrity(artifacts, ledgers))
+    field = lambda path: F.coalesce(F.get_json_object("record", path), F.lit(""))
     return documents.select(
-        "repository_id", field("$.schema_version").alias("version"), field("$.target.snapshot_id").alias("snapshot"),
-        F.json_array_length(field("$.artifacts")).cast("long").alias("artifacts"),
-        F.json_array_length(field("$.claims")).cast("long").alias("claims"),
-        field("$.artifacts[0].artifact_id").alias("first_artifact"), field("$.integrity.status").alias("status"),
+        "repository_id", "section", F.coalesce("record_id", F.lit("")).alias("record_id"),
+        F.when(F.col("section") == "header", field("$.schema_version")).when(F.col("section") == "claims", field("$.severity"))
+        .otherwise(field("$.attestation")).alias("detail"),
+        F.when(F.col("section") == "header", field("$.target.snapshot_id"))
+        .otherwise(F.sha2(F.when(F.col("section") == "claims", field("$.claim")).otherwise(field("$.payload")), 256)).alias("content"),
+        field("$.artifacts").alias("artifacts"), field("$.claims").alias("claims"), field("$.integrity.status").alias("status"),
     )
 
 
@@ -91,8 +90,13 @@ SELECT repository_id, 'action,action_reason,confidence,decision_path,findings,mi
 FROM ({EVIDENCE_ORACLES["review_actions"]}) a JOIN (SELECT repository_id, summary FROM ({findings_sql()}) WHERE dimension = 'ood_evidence_quality') q USING (repository_id)
 JOIN (SELECT repository_id, severity FROM ({findings_sql()}) WHERE dimension = 'security_risk') s USING (repository_id)""",
     "ledger_documents": f"""
-WITH a AS (SELECT source AS repository_id, count(*) AS artifacts, min(doc_id::VARCHAR) AS first_artifact FROM documents GROUP BY ALL),
-c AS (SELECT 'src' || (conv_id % 20) AS repository_id, count(*) AS claims FROM conversations GROUP BY ALL)
-SELECT repository_id, '2.0' AS version, 'snap_' || repository_id AS snapshot, coalesce(a.artifacts, 0) AS artifacts, coalesce(claims, 0) AS claims, first_artifact, status
-FROM ({EVIDENCE_ORACLES["ledger_integrity"]}) l LEFT JOIN a USING (repository_id) LEFT JOIN c USING (repository_id)""",
+WITH a AS (SELECT source AS repository_id, count(*) AS artifacts FROM documents GROUP BY ALL),
+c AS (SELECT 'src' || (conv_id % 20) AS repository_id, count(*) AS claims FROM conversations GROUP BY ALL),
+l AS ({EVIDENCE_ORACLES["ledger_integrity"]})
+SELECT repository_id, 'header' AS section, '' AS record_id, '2.0' AS detail, 'snap_' || repository_id AS content,
+  coalesce(a.artifacts, 0)::VARCHAR AS artifacts, coalesce(claims, 0)::VARCHAR AS claims, status
+FROM l LEFT JOIN a USING (repository_id) LEFT JOIN c USING (repository_id)
+UNION ALL SELECT repository_id, 'artifacts', artifact_id, attestation, real_hash, '', '', '' FROM ({ARTIFACTS_SQL})
+UNION ALL SELECT 'src' || (conv_id % 20), 'claims', conv_id || ':' || turn, CASE WHEN turn % 5 = 4 THEN 'odd' ELSE 'low' END, sha256(text), '', '', ''
+FROM conversations WHERE 'src' || (conv_id % 20) IN (SELECT repository_id FROM l)""",
 }

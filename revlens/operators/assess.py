@@ -64,12 +64,15 @@ def finding(
     summary: Column,
     references: Column,
     tags: Column | None = None,
+    listed: Column | None = None,
 ) -> DataFrame:
+    """``listed`` counts references that are rows of their own table and not in the array."""
     return frame.select(
         *keys, F.lit(dimension).alias("dimension"), status.alias("status"),
         confidence.cast("double").alias("confidence"), severity.alias("severity"),
         summary.alias("summary"), references.alias("evidence_refs"),
         (no_text() if tags is None else tags).alias("tags"),
+        (F.size(references) + F.coalesce(F.lit(0) if listed is None else listed, F.lit(0))).cast("long").alias("reference_count"),
     )
 
 
@@ -200,7 +203,7 @@ def integrity_finding(targets: DataFrame, integrity: DataFrame, keys: Sequence[s
     """Ledger audit per target; ``integrity`` is keyed by the ledger's own code state.
 
     A ledger of another code state fails but keeps the audit's confidence and tags.
-    Ids of failed artifacts are in :func:`evidence.failed_artifacts`.
+    References of failed artifacts are rows of :func:`evidence.artifact_references`.
     """
     joined = nearest_evidence(
         targets, integrity, ("status", "confidence", "tags", "failed_artifacts"), "artifacts"
@@ -219,11 +222,15 @@ def integrity_finding(targets: DataFrame, integrity: DataFrame, keys: Sequence[s
         .when(present, F.array(F.concat(F.lit("ledger:"), "_snapshot", F.lit(":verified"))))
         .otherwise(F.array(F.lit("ledger:missing"))),
         F.coalesce("_tags", F.array(F.lit("EVIDENCE_INTEGRITY_UNKNOWN"))),
+        F.when(~mismatch, F.col("_failed_artifacts")),
     )
 
 
 def architecture_finding(targets: DataFrame, reports: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:
-    """``reports``: keys, status, confidence, modules, edges, cycles, signals."""
+    """``reports``: keys, status, confidence, modules, edges, cycles, signals.
+
+    References of signals are rows of :func:`graph.architecture_references`.
+    """
     joined = targets.select(*keys).join(reports, list(keys), "left")
     status = F.coalesce("status", F.lit("pass"))
     modules, edges, cycles = [F.coalesce(name, F.lit(0)) for name in ("modules", "edges", "cycles")]
@@ -237,6 +244,7 @@ def architecture_finding(targets: DataFrame, reports: DataFrame, keys: Sequence[
         F.when(F.coalesce("signals", F.lit(0)) > 0, no_text()).otherwise(
             F.array(F.format_string("architecture:%d-modules:%d-edges:no-cycles", modules, edges))
         ),
+        listed=F.col("signals"),
     )
 
 
@@ -249,6 +257,7 @@ def security_finding(rollup: DataFrame, keys: Sequence[str] = TARGET) -> DataFra
             "production_severe", "test_only_severe",
         ),
         F.when(F.col("signals") > 0, no_text()).otherwise(F.array(F.lit("static-scan:no-findings"))),
+        listed=F.col("signals"),
     )
 
 

@@ -99,16 +99,15 @@ def require_trainable(samples: DataFrame, folds: int) -> int:
     return usable
 
 
-def assign_folds(samples: DataFrame, folds: int, greedy_groups: int = 1000) -> DataFrame:
+def assign_folds(samples: DataFrame, folds: int) -> DataFrame:
     """Add ``fold`` so that no group is split and folds have similar sizes.
 
-    Groups are placed greedily, largest first, into the lightest fold. With very many
-    groups only those above one percent of a fold are placed so (their number is bounded
-    by ``folds * 100``); the many small ones are spread by hash.
+    Groups above one percent of a fold, fewer than ``folds * 100``, are placed greedily,
+    largest first, into the lightest fold; the smaller ones are spread by hash.
     """
     sizes = materialise(samples.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")), "groups")
-    total = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
-    heavy = sizes if total[1] <= greedy_groups else sizes.filter(F.col("n") * (folds * 100) > total[0])
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    heavy = sizes.filter(F.col("n") * (folds * 100) > total)
     loads = [0] * folds
     placed = []
     for row in sorted(heavy.collect(), key=lambda item: (-item["n"], str(item["group_id"]))):

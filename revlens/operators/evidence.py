@@ -21,6 +21,14 @@ def failed_artifacts(artifacts: DataFrame, keys: Sequence[str] = TARGET) -> Data
     return artifacts.filter(~hash_matches()).select(*keys, "artifact_id")
 
 
+def artifact_references(artifacts: DataFrame, ledgers: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:
+    """``artifact:<id>`` per failed artifact of a ledger, kept as rows because their number has no bound."""
+    failed = failed_artifacts(artifacts, keys).join(ledgers.select(*keys), list(keys), "left_semi")
+    return failed.select(
+        *keys, F.lit("evidence_integrity").alias("dimension"), F.concat(F.lit("artifact:"), "artifact_id").alias("reference")
+    )
+
+
 def ledger_integrity(artifacts: DataFrame, ledgers: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:
     """Status, confidence and tags per ledger; failed ids stay in their own table.
 

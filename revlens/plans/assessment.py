@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assess, evidence, gates, security
+from ..operators import assess, evidence, gates, graph, security
 from ..operators.validation import union_all
 from ..schemas import TARGET
 from ..session import materialise
@@ -56,5 +56,23 @@ def repository_findings(
     ])
 
 
+def finding_references(
+    findings: DataFrame, samples: DataFrame, architecture_signals: DataFrame, artifacts: DataFrame, ledgers: DataFrame,
+    keys: Sequence[str] = TARGET,
+) -> DataFrame:
+    """``keys, dimension, reference``: what every finding rests on, whatever its number.
+
+    Short lists come from the findings, the others from the signals and artifacts of
+    assessed targets; ``reference_count`` of a finding counts its rows here.
+    """
+    short = findings.select(*keys, "dimension", F.explode("evidence_refs").alias("reference"))
+    long = union_all([
+        security.signal_references(security.scan_code(samples.select(*keys, "path", "code")), keys),
+        graph.architecture_references(architecture_signals, keys),
+        evidence.artifact_references(artifacts, ledgers, keys),
+    ])
+    return short.unionByName(long.join(findings.select(*keys).distinct(), list(keys), "left_semi"))
+
+
 def assess_repositories(findings: DataFrame, targets: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:
     return assess.assess(findings, working_tree_requests(targets.select(*keys)), keys)

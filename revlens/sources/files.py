@@ -26,14 +26,15 @@ def decode(content) -> F.Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def code_samples(files: DataFrame, keys: Sequence[str] = TARGET, max_bytes: int = MAX_SAMPLE_BYTES) -> DataFrame:
-    """Supported files up to ``max_bytes`` as samples.
+def code_samples(files: DataFrame, keys: Sequence[str] = TARGET, max_bytes: int | None = None) -> DataFrame:
+    """Supported files as samples, with ``max_bytes`` only those up to that size.
 
     ``files`` hold ``keys, path, length`` and ``content`` (bytes) or ``code`` (text).
     """
     code = F.col("code") if "code" in files.columns else decode(F.col("content"))
     language = paths.language_of(F.col("path"))
-    return files.filter((F.col("length") <= max_bytes) & language.isNotNull()).select(
+    small = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    return small.filter(language.isNotNull()).select(
         *keys,
         hashing.sample_id(F.col("repository_id"), F.col("path")).alias("sample_id"),
         F.col("repository_id").alias("group_id"),

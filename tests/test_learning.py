@@ -51,11 +51,11 @@ def test_preconditions(spark, feature_rows):
         evaluate.require_trainable(feature_rows.withColumn("group_id", F.lit("g")), 5)
 
 
-@pytest.mark.parametrize("greedy", [1000, 1])
-def test_folds_never_split_a_group(spark, greedy):
-    rows = [(f"g{g}", i) for g in range(40) for i in range(300 if g == 0 else g % 7 + 1)]
+@pytest.mark.parametrize("groups", [4, 40, 1500])
+def test_folds_never_split_a_group(spark, groups):
+    rows = [(f"g{g}", i) for g in range(groups) for i in range(300 if g == 0 else g % 7 + 1)]
     frame = spark.createDataFrame(rows, "group_id STRING, i INT")
-    placed = evaluate.assign_folds(frame, 4, greedy_groups=greedy)
+    placed = evaluate.assign_folds(frame, 4)
     assert placed.groupBy("group_id").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
     assert placed.count() == len(rows) and placed.select("fold").distinct().count() == 4
 
