@@ -189,8 +189,8 @@ def outcome_counts(spark, sf_dir):
 
 
 def test_artifacts(spark, sf_dir):
-    rows = evidence.test_artifacts(evidence.test_runs(executions(spark, sf_dir)))
-    return rows.select("repository_id", "kind", "complete", "content_hash", F.length("payload").cast("long").alias("size"))
+    rows = evidence.test_artifacts(evidence.test_runs(executions(spark, sf_dir)), "2024-01-01T00:00:00+00:00")
+    return rows.select("repository_id", "kind", "complete", "content_hash", "created_at", F.length("payload").cast("long").alias("size"))
 
 
 def review_inputs(spark, sf_dir):
@@ -258,15 +258,24 @@ def review_actions(spark, sf_dir):
     return flat_assessment(assessment.assess_repositories(found, inputs["targets"]))
 
 
-def routed_orders(spark, sf_dir):
-    """Routing alone, over one request per order whose findings come from its line items."""
-    lineitem = table(spark, sf_dir, "lineitem")
+def line_dimension():
     names = (
         "evidence_integrity", "evidence_sufficiency", "intent_alignment", "functional_evidence",
         "architectural_compatibility", "security_risk", "efficiency_risk", "ood_evidence_quality", "provenance",
     )
-    dimension = F.element_at(F.array(*map(F.lit, names)), (F.col("l_partkey") % 9 + 1).cast("int"))
-    one = lineitem.groupBy("l_orderkey", dimension.alias("dimension")).agg(
+    return F.element_at(F.array(*map(F.lit, names)), (F.col("l_partkey") % 9 + 1).cast("int")).alias("dimension")
+
+
+def finding_violations(spark, sf_dir):
+    """One finding per line item, so that orders repeat dimensions."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    return validation.repeated_findings(with_target(lineitem, F.col("l_orderkey")).select(*TARGET, line_dimension()))
+
+
+def routed_orders(spark, sf_dir):
+    """Routing alone, over one request per order whose findings come from its line items."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    one = lineitem.groupBy("l_orderkey", line_dimension()).agg(
         F.min("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.min("l_returnflag").alias("f"),
     )
     found = with_target(one, F.col("l_orderkey")).select(
@@ -302,6 +311,7 @@ QUERIES = {
     "test_artifacts": test_artifacts,
     "review_findings": review_findings,
     "finding_references": finding_references,
+    "finding_violations": finding_violations,
     "review_actions": review_actions,
     "routed_orders": routed_orders,
 }
@@ -565,12 +575,15 @@ SELECT (event_id // 8)::VARCHAR AS repository_id, count(*) FILTER (event_type IN
   count(*) FILTER (event_type NOT IN ('click', 'view', 'purchase', 'signup')) AS failed,
   count(*) FILTER (event_type = 'purchase') AS skipped, count(*) FILTER (event_type = 'signup') AS xfailed,
   0::BIGINT AS xpassed, 0::BIGINT AS error FROM events GROUP BY ALL""",
-    "test_artifacts": f"""SELECT repository_id, 'test_report' AS kind, complete, sha256(payload) AS content_hash,
+    "test_artifacts": f"""SELECT repository_id, 'test_report' AS kind, complete, sha256(payload) AS content_hash, '2024-01-01T00:00:00+00:00' AS created_at,
   length(payload) AS size FROM ({PAYLOAD_SQL})""",
     "review_findings": f"""
 WITH r AS (SELECT repository_id, dimension, count(*) AS reference_count FROM ({references_sql()}) GROUP BY ALL)
 SELECT f.*, reference_count FROM ({findings_sql()}) f JOIN r USING (repository_id, dimension)""",
     "finding_references": references_sql(),
+    "finding_violations": f"""
+SELECT 'findings' AS "table", concat_ws('|', k, 'snap_' || k, sha256(k), dimension) AS key, 'duplicate_key' AS rule, count(*)::VARCHAR AS detail
+FROM (SELECT l_orderkey::VARCHAR AS k, {_names}[l_partkey % 9 + 1] AS dimension FROM lineitem) GROUP BY k, dimension HAVING count(*) > 1""",
     "review_actions": routing_sql(
         f"SELECT repository_id AS rid, * EXCLUDE (repository_id) FROM ({findings_sql()})",
         "SELECT DISTINCT source AS rid, 'working-tree:' || source AS target_id, 'working_tree' AS target_kind, "

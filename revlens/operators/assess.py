@@ -311,7 +311,8 @@ def assess(findings: DataFrame, targets: DataFrame, keys: Sequence[str] = TARGET
     """One action per target with reason, confidence, decision path and missing evidence.
 
     ``targets`` carry ``tags`` of the request (``target_id`` and ``target_kind`` pass
-    through). A target has at most one finding per dimension, so a group is nine rows.
+    through). A target with two findings of one dimension is not routed;
+    :func:`validation.repeated_findings` lists it.
     """
     keys = list(keys)
     dimension = F.col("dimension")
@@ -321,6 +322,7 @@ def assess(findings: DataFrame, targets: DataFrame, keys: Sequence[str] = TARGET
         values += [
             F.max(F.when(here, F.col("status"))).alias(f"_s_{name}"),
             F.max(F.when(here, F.col("confidence"))).alias(f"_c_{name}"),
+            F.count_if(here).alias(f"_n_{name}"),
         ]
     unverified = F.array_contains("tags", "TEST_RESULT_UNVERIFIED")
     grouped = findings.groupBy(*keys).agg(
@@ -332,7 +334,9 @@ def assess(findings: DataFrame, targets: DataFrame, keys: Sequence[str] = TARGET
         F.flatten(F.collect_list("tags")).alias("_tags"),
     )
     passed = [name for name in targets.columns if name not in (*keys, "tags")]
-    frame = targets.select(*keys, *passed, F.col("tags").alias("_request")).join(grouped, keys, "left")
+    frame = targets.select(*keys, *passed, F.col("tags").alias("_request")).join(grouped, keys, "left").filter(
+        F.coalesce(F.greatest(*[F.col(f"_n_{name}") for name in DIMENSIONS]), F.lit(0)) <= 1
+    )
 
     def status(name: str) -> Column:
         return F.col(f"_s_{name}")

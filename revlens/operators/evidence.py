@@ -127,8 +127,8 @@ def test_cases(runs: DataFrame) -> DataFrame:
     return runs.select(*TARGET, each(F.col("test_cases")).alias("_c")).select(*TARGET, "_c.*")
 
 
-def test_artifacts(runs: DataFrame) -> DataFrame:
-    """Each run as a ledger artifact with a recomputed content hash."""
+def test_artifacts(runs: DataFrame, created_at: str) -> DataFrame:
+    """Each run as a ledger artifact with a recomputed content hash and the time the caller names."""
     return runs.withColumn("payload", canonical_json(**_report_fields())).select(
         *TARGET,
         F.concat(F.lit("pytest:"), F.substring("report_hash", 1, 16)).alias("artifact_id"),
@@ -140,6 +140,6 @@ def test_artifacts(runs: DataFrame) -> DataFrame:
         "attestation",
         F.concat(F.lit("local:"), "report_hash").alias("execution_id"),
         "complete",
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"),
+        F.lit(created_at).alias("created_at"),
         F.lit("").alias("source_uri"),
     )

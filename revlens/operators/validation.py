@@ -66,6 +66,11 @@ def duplicates(df: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
     return violations(counted, table, key, "duplicate_key", F.col("_n") > 1, F.col("_n"))
 
 
+def repeated_findings(findings: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:
+    """Dimensions a request has more than one finding for; :func:`assess.assess` routes no such request."""
+    return duplicates(findings, "findings", (*keys, "dimension"))
+
+
 def not_in_domain(
     df: DataFrame, table: str, key: Sequence[str], column: str, domain: Sequence[str]
 ) -> DataFrame:

@@ -70,6 +70,16 @@ def request(spark, target, overrides=None, omit=(), tags=()):
     return assess.assess(findings, targets).first()
 
 
+def test_repeated_dimension_is_listed_and_not_routed(spark, target):
+    rows = [(*target, name, status, 0.5, "info", "", [], []) for name, status in (("security_risk", "pass"), ("security_risk", "fail"))]
+    findings = spark.createDataFrame(rows, FINDINGS)
+    targets = spark.createDataFrame([(*target, "pr", "pull_request", [])], f"{KEYS}, target_id STRING, target_kind STRING, tags ARRAY<STRING>")
+    assert assess.assess(findings, targets).count() == 0
+    listed = validation.repeated_findings(findings).collect()
+    assert [(r["rule"], r["detail"]) for r in listed] == [("duplicate_key", "2")]
+    assert assess.assess(findings.limit(0), targets).first()["action"] == "request_targeted_evidence"
+
+
 def test_healthy_request_is_allowed(spark, target):
     got = request(spark, target, {"provenance": ("unknown", 0.0, "info", ["PROVENANCE_UNCERTAIN"])})
     assert got["action"] == "allow_standard_review" and got["confidence"] == pytest.approx(0.9)
