@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from .columns import append_columns
 
 FIT_DOCUMENTS = 1000
+HASHES = 2**31
 LANGUAGES = 128
 WINDOW = 256
 UNKNOWN = "und"
@@ -158,16 +159,29 @@ class ByteNetwork:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = FIT_DOCUMENTS) -> ByteNetwork | None:
-    """Fits on at most ``per_language`` texts of each language, chosen by a hash of the text."""
+    """Fits on at most ``per_language`` different texts of each language, those with the least hashes.
+
+    Texts are first thinned by their hash to about four times that many of a language, so
+    what is shuffled and ranked doesn't grow with the table, and copies count once.
+    """
     rows = labelled.filter(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    languages = sorted(row["lang"] for row in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    rows = rows.withColumn("_h", F.xxhash64("text"))
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_h").alias("texts"))
+    largest = counted.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    languages = sorted(row["lang"] for row in largest)
     if not languages:
         return None
+    kept = {row["lang"]: int(min(1.0, 4 * per_language / max(row["texts"], 1)) * HASHES) for row in largest}
+    thinned = rows.filter(
+        F.pmod("_h", F.lit(HASHES)) < F.try_element_at(
+            F.create_map(*[F.lit(x).cast(kind) for pair in kept.items() for x, kind in zip(pair, ("string", "long"))]), F.col("lang")
+        )
+    )
     # Of a very long text the fit sees its first 16,384 characters; a prediction sees all of it.
-    hashed = rows.filter(F.col("lang").isin(languages)).select("lang", F.substring("text", 1, 16384).alias("text"), F.xxhash64("text").alias("_h"))
-    chosen = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
-    sample = hashed.withColumn("_n", chosen).filter(F.col("_n") <= per_language).orderBy("lang", "_n").toPandas()
+    texts = thinned.groupBy("lang", "_h").agg(F.min(F.substring("text", 1, 16384)).alias("text"))
+    chosen = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    sample = texts.withColumn("_n", chosen).filter(F.col("_n") <= per_language).orderBy("lang", "_n").toPandas()
     network, draw = ByteNetwork(languages), np.random.default_rng(3)
     codes, target = [], []
     for value, name in zip(sample["text"], sample["lang"]):
