@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .ranges import range_bounds, range_number
 from .shingles import scramble
-from .wordwise import ended_word_memory
+from .wordwise import separated_word_memory
 
 MAGIC = b"IDSTORE1"
 END_ID = 1
@@ -246,7 +246,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, key: str = "doc
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(path)
         files.create_dir(root, recursive=True)
-        memory = ended_word_memory(tokenizer)
+        memory = separated_word_memory(tokenizer)
         if len(memory._encode.names) - 1 > most or end_id > most:
             raise ValueError(f"{dtype} can't hold every id of {tokenizer}")
         writer, current, done = None, None, []

@@ -18,13 +18,13 @@ import tokenizers
 WORD_LIMIT = 600_000
 ID_BYTES = 4
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_RUNS = re.compile(r"[^\W\d_]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class WordMemory:
     """Ids of texts as bytes. ``encode_words(words)`` gives the ids of words, each as bytes.
 
-    ``spaced``: ids of a word depend on the space before it, and on white space at its edges.
+    ``spaced``: ids of a word depend on the space before it, and on white space at its edges;
+    otherwise white space only parts words, and line feeds do it as spaces do.
     """
 
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], spaced: bool, limit: int = WORD_LIMIT) -> None:
@@ -47,14 +47,14 @@ class WordMemory:
     def payload(self, text: str) -> bytes:
         if not text:
             return b""
-        parts = text.split(" ")
         if not self._spaced:
+            parts = text.replace("\n", " ").split(" ")
             try:
                 return b"".join(map(self._known.__getitem__, parts))
             except KeyError:
                 self._learn(parts)
                 return b"".join(map(self._known.__getitem__, parts))
-        first, rest = parts[0], parts[1:]
+        first, *rest = text.split(" ")
         try:
             return self._head(first) + b"".join(map(self._known.__getitem__, rest))
         except KeyError:
@@ -121,35 +121,27 @@ class ByteWords(_Words):
         return [known[word] for word in words]
 
 
-class EndedWords(_Words):
-    """Words for a vocabulary whose last id of a piece shows its end.
+class SeparatedWords(_Words):
+    """Words for a vocabulary whose pieces never reach over white space.
 
-    Words made of letters, ASCII digits and ASCII marks but the apostrophe are joined. Each run of
-    letters, each digit and each run of marks gives at least one piece, so if the joined ids have as
-    many ends as all runs together, every word has just its own number of them.
+    Words are joined by a control character between spaces, which has one id of its own, and the
+    joined ids are cut there. A word that holds this character gives more such ids than there are
+    joints; then the words go one by one.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.ends = np.array([name.endswith("</w>") for name in self.names])
+        self.mark = self.joined_ids(self.MARK)
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        joinable, pieces = [], []
-        for word in words:
-            runs = _RUNS.findall(word)
-            if runs and sum(map(len, runs)) == len(word):
-                joinable.append(word)
-                pieces.append(len(runs))
-        known = {}
-        if len(joinable) > 1:
-            ids = self.joined_ids(" ".join(joinable))
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == sum(pieces):
-                last = ends[np.cumsum(pieces) - 1]
-                known = dict(zip(joinable, _cut(ids, np.concatenate(([0], last[:-1])), last)))
-        rest = [word for word in words if word not in known]
-        known.update(zip(rest, self.one_by_one(rest)))
-        return [known[word] for word in words]
+        if len(words) > 1 and len(self.mark) == 1:
+            ids = self.joined_ids(f" {self.MARK} ".join(words))
+            joints = np.flatnonzero(ids == self.mark[0])
+            if len(joints) == len(words) - 1:
+                return _cut(ids, np.concatenate(([0], joints + 1)), np.append(joints, len(ids)))
+        return self.one_by_one(words)
 
 
 @lru_cache(maxsize=2)
@@ -159,6 +151,6 @@ def byte_level_memory(path: str) -> WordMemory:
 
 
 @lru_cache(maxsize=2)
-def ended_word_memory(path: str) -> WordMemory:
+def separated_word_memory(path: str) -> WordMemory:
     # This tokenizer takes longest for a new word, so more of them are kept (about 0.3 GB).
-    return WordMemory(EndedWords(path), spaced=False, limit=2 * WORD_LIMIT)
+    return WordMemory(SeparatedWords(path), spaced=False, limit=2 * WORD_LIMIT)

@@ -193,10 +193,10 @@ def test_piece_bpe_equals_ranked_encoding(odd, documents):
 
 
 def test_words_give_the_ids_of_whole_texts():
-    parts = ["a", "The", " ", "  ", "\n", "\t", " \n", "é", "ß", "İ", "1", "23", "'s", "'LL", "!", "<|endoftext|>", "\u00a0", "\u3000", "漢字", "😀", "\u0301", "\x1c", "\r\n"]
+    parts = ["a", "The", " ", "  ", "\n", "\t", " \n", "é", "ß", "İ", "1", "23", "'s", "'LL", "!", "<|endoftext|>", "\u00a0", "\u3000", "漢字", "😀", "\u0301", "\x1c", "\r\n", "\x01"]
     draw = np.random.default_rng(1)
     texts = ["".join(draw.choice(parts, draw.integers(0, 40))) for _ in range(1500)]
-    for path, memory in ((WORDS, wordwise.ended_word_memory(WORDS)), (BYTES, wordwise.byte_level_memory(BYTES))):
+    for path, memory in ((WORDS, wordwise.separated_word_memory(WORDS)), (BYTES, wordwise.byte_level_memory(BYTES))):
         tool = tokenizers.Tokenizer.from_file(path)
         tool.encode_special_tokens = True
         assert [packed(e.ids) for e in tool.encode_batch(texts, add_special_tokens=False)] == [memory.payload(t) for t in texts]
