@@ -11,7 +11,6 @@ Of equally long rules that fit, the first in alphabetical order wins. Repeated r
 
 from __future__ import annotations
 
-import math
 import string
 from collections.abc import Sequence
 
@@ -20,12 +19,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.session import materialise
+from revlens.session import broadcast_if_bounded, materialise
 
-# The trees are fitted on at most so many labelled URLs, chosen by a hash of the URL.
+# The trees are fitted on at most so many different labelled URLs, chosen by a hash of the URL;
+# suffix statistics count all different labelled URLs.
 FIT_ROWS = 20_000
-# Suffix statistics are kept for at most so many suffixes of the fitted URLs.
-SUFFIX_LIMIT = 1000
+# Of these places the rarer verdict gets at least one in so many, as far as it has URLs.
+RARER_SHARE = 100
 
 FEATURES = (
     "url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "host_digit_ratio",
@@ -79,17 +79,12 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def with_features(urls: DataFrame, url: str, suffixes: dict[str, tuple[float, float]]) -> DataFrame:
-    """Adds the columns of FEATURES. ``suffixes`` has share and rate of known suffixes."""
+def with_features(urls: DataFrame, url: str, suffixes: DataFrame) -> DataFrame:
+    """Adds the columns of FEATURES. ``suffixes``, a stored table, has ``_suffix, _share, _rate`` of known suffixes."""
+    urls = urls.withColumn("_suffix", suffix_of(F.col("host"))).join(broadcast_if_bounded(suffixes), "_suffix", "left")
     text = F.coalesce(F.col(url), F.lit(""))
     host, path = F.col("host"), F.col("path")
     query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
-    known = {name: F.create_map(*[F.lit(x) for key, pair in suffixes.items() for x in (key, pair[place])])
-             for place, name in enumerate(("share", "rate"))} if suffixes else {}
-    statistic = {
-        name: F.coalesce(F.try_element_at(known[name], suffix_of(host)), F.lit(default)) if known else F.lit(default)
-        for name, default in (("share", 0.0), ("rate", 0.5))
-    }
     ratio = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
     return urls.withColumns({
         "url_length": F.char_length(text).cast("double"),
@@ -106,9 +101,9 @@ def with_features(urls: DataFrame, url: str, suffixes: dict[str, tuple[float, fl
         "hyphens": _count(text, "-"),
         "secure": text.startswith("https:").cast("double"),
         "extension_length": F.char_length(F.regexp_extract(path, r"\.([^./]*)$", 1)).cast("double"),
-        "suffix_share": statistic["share"],
-        "suffix_rate": statistic["rate"],
-    })
+        "suffix_share": F.coalesce("_share", F.lit(0.0)),
+        "suffix_rate": F.coalesce("_rate", F.lit(0.5)),
+    }).drop("_suffix", "_share", "_rate")
 
 
 class UrlModel:
@@ -129,21 +124,41 @@ class UrlModel:
             "_row.*", F.when(F.col("_prediction") > 0.5, "block").otherwise("allow").alias("predicted"))
 
 
+def suffix_statistics(known: DataFrame) -> DataFrame:
+    """Different URLs, blocked ones, share and rate of every suffix; ``known``: ``host, _label, _hash``."""
+    different = known.select(suffix_of(F.col("host")).alias("_suffix"), "_label", "_hash").distinct()
+    counts = different.groupBy("_suffix").agg(F.count("*").alias("_n"), F.sum("_label").alias("_blocked"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).select(
+        "_suffix", "_n", "_blocked", (F.log1p("_n") / F.log1p("_total")).alias("_share"),
+        ((F.col("_blocked") + 1) / (F.col("_n") + 2)).alias("_rate"))
+
+
+def _sample(known: DataFrame, sizes: dict[float, int], rows: int) -> DataFrame:
+    """At most ``rows`` different URLs, of each label those with the least hashes."""
+    total, rarer = sum(sizes.values()), min(sizes, key=sizes.get)
+    places = {rarer: min(sizes[rarer], max(rows * sizes[rarer] // total, rows // RARER_SHARE, 1))}
+    places[1 - rarer] = max(rows - places[rarer], 1)
+    # Thinned by hash first, to more than what is taken, so that what is shuffled doesn't grow with the table.
+    few = [(F.col("_label") == label) & (F.col("_hash") <= min(2**63 - 1, int(2**64 * (4 * places[label] + 100) / sizes[label]) - 2**63))
+           for label in sizes]
+    thinned = materialise(known.filter(few[0] | few[1]).distinct(), "url-thinned")
+    taken = [thinned.filter(F.col("_label") == label).orderBy("_hash", "_url").limit(places[label]) for label in sizes]
+    return materialise(taken[0].union(taken[1]), "url-sample")
+
+
 def fit(labelled: DataFrame, url: str, verdict: str, rows: int = FIT_ROWS, rounds: int = 20, depth: int = 4) -> UrlModel:
-    """Fits the trees on at most ``rows`` labelled URLs with columns ``host``, ``path``."""
-    sample = materialise(
-        labelled.filter(F.col(verdict).isin("allow", "block"))
-        .select(F.col(url).alias("_url"), "host", "path", (F.col(verdict) == "block").cast("double").alias("_label"))
-        .orderBy(F.xxhash64("_url"), "_url").limit(rows), "url-sample")
-    counts = sample.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(
-        F.count("*").alias("n"), F.sum("_label").alias("blocked")).orderBy(F.desc("n"), "suffix").limit(SUFFIX_LIMIT).collect()
-    total = sum(row["n"] for row in counts)
-    suffixes = {row["suffix"]: (math.log1p(row["n"]) / math.log1p(total), (row["blocked"] + 1) / (row["n"] + 2)) for row in counts}
-    classes = [row["_label"] for row in sample.select("_label").distinct().collect()]
-    if len(classes) < 2:
-        return UrlModel(suffixes, None, "block" if classes == [1.0] else "allow")
+    """Fits the trees on at most ``rows`` different labelled URLs with columns ``host``, ``path``."""
+    known = labelled.filter(F.col(verdict).isin("allow", "block")).select(
+        F.col(url).alias("_url"), "host", "path", (F.col(verdict) == "block").cast("double").alias("_label"), F.xxhash64(url).alias("_hash"))
+    statistics = materialise(suffix_statistics(known), "url-suffixes")
+    suffixes = statistics.select("_suffix", "_share", "_rate")
+    total, blocked = statistics.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_blocked"), F.lit(0.0))).first()
+    sizes = {0.0: total - int(blocked), 1.0: int(blocked)}
+    if not all(sizes.values()):
+        return UrlModel(suffixes, None, "block" if blocked else "allow")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(
-        with_features(sample, "_url", suffixes)).select("_features", "_label").coalesce(2)
+        with_features(_sample(known, sizes, rows), "_url", suffixes)).select("_features", "_label").coalesce(2)
     trees = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_prediction",
                           maxIter=rounds, maxDepth=depth, maxBins=64, seed=7).fit(ready)
     return UrlModel(suffixes, trees, None)

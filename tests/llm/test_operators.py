@@ -243,6 +243,33 @@ def test_trees_learn_from_lexical_features(spark):
     assert model.judge(rows, "url").filter("predicted = verdict").count() >= 1980
 
 
+def labelled_urls(spark, rows):
+    table = spark.createDataFrame(rows, "url string, verdict string")
+    return table.withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+
+
+def test_repeated_url_leaves_room_for_others(spark):
+    rows = [(f"http://a.com/story/{k}", "allow") if k % 2 else (f"http://b.com/x?{'q=1&' * 20}{k}", "block") for k in range(400)]
+    table = labelled_urls(spark, rows)
+    first = table.orderBy(F.xxhash64("url")).first()
+    copies = labelled_urls(spark, rows + [(first["url"], first["verdict"])] * 200)
+    model = url_filter.fit(copies, "url", "verdict", rows=100, rounds=3)
+    assert model.trees is not None and model.judge(table, "url").filter("predicted = verdict").count() == 400
+    # A copy doesn't move the statistics either, and a verdict that few URLs have is learned from.
+    assert sorted(map(tuple, model.suffixes.collect())) == sorted(map(tuple, url_filter.fit(table, "url", "verdict", rows=100, rounds=1).suffixes.collect()))
+    rare = labelled_urls(spark, [(f"http://a.com/story/{k}", "allow") for k in range(3000)] + rows[:1])
+    assert url_filter.fit(rare, "url", "verdict", rows=20, rounds=1).trees is not None
+
+
+def test_suffix_statistics_count_all_urls(spark):
+    rows = [(f"http://h.s{k}/{n}", "block" if k % 3 == 0 else "allow") for k in range(1500) for n in range(2)]
+    model = url_filter.fit(labelled_urls(spark, rows), "url", "verdict", rows=50, rounds=1)
+    found = {row["_suffix"]: (row["_share"], row["_rate"]) for row in model.suffixes.collect()}
+    assert len(found) == 1500
+    for k in range(1500):
+        assert found[f"s{k}"] == pytest.approx((math.log1p(2) / math.log1p(3000), 0.75 if k % 3 == 0 else 0.25))
+
+
 def test_language_of_held_out_rows(spark):
     documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("held", language.held_out(F.col("doc_id")))
     network = language.fit(documents.filter("not held"))
