@@ -38,17 +38,17 @@ _SKETCH_LONGS = SKETCH_BITS // 64
 
 
 def describe_sets(documents: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Key, signature, size and sketch of each row's set; signature and sketch null if empty."""
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = T.StructType([rows.schema["key"], T.StructField("sig", T.LongType()), T.StructField("size", T.LongType()),
-                           T.StructField("sketch", T.BinaryType())])
+    """Key, hash of the text, signature, size and sketch of each row's set; signature and sketch null if empty."""
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
+    schema = T.StructType([rows.schema["key"], T.StructField("print", T.LongType()), T.StructField("sig", T.LongType()),
+                           T.StructField("size", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [(set_signature(found), len(found), parity_sketch(found, SKETCH_BITS).tobytes()) if len(found) else (None, 0, None)
                     for found in distinct_shingles(batch.column(1).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()),
+                [batch.column(0), batch.column(2), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()),
                  pa.array([m[2] for m in made], pa.binary())], names=schema.names)
 
     return rows.mapInArrow(work, schema)
@@ -289,10 +289,11 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(stars.select(F.col("label").alias("sig"), "label").distinct())
 
 
-def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Key, ``n_shingles`` and ``component_id`` (least key reachable by links) of every row."""
+def _linked(documents: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's set, and of each different set the least row (``key``, null last, and ``print``) and the ``label`` of its component."""
     described = materialise(describe_sets(documents, key, text, width), "sets")
-    nodes = described.filter("size > 0").groupBy("sig").agg(F.min(F.struct("key", "size", "sketch")).alias("n")).select("sig", "n.*")
+    nodes = described.filter("size > 0").groupBy("sig").agg(
+        F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "print", "size", "sketch")).alias("n")).select("sig", "n.*")
     nodes = materialise(nodes, "set-nodes")
     shared = materialise(shared_pieces(set_pieces(documents, text, width, percent)), "shared-pieces")
     groups = materialise(comparison_groups(shared), "piece-groups")
@@ -308,7 +309,13 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
         if pairs.limit(1).count():
             tested = tested.union(verify_pairs(pairs, nodes, documents, key, text, width, percent))
             labels = materialise(components(tested.filter("linked")), "labels")
-    known = nodes.select("sig", "key").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    known = nodes.select("sig", "unnamed", "key", "print").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    return described, known
+
+
+def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Key, ``n_shingles`` and ``component_id`` (least key reachable by links, null last) of every row."""
+    described, known = _linked(documents, key, text, width, percent)
     least = known.groupBy("label").agg(F.min("key").alias("component_id"))
     named = known.join(least, "label").select("sig", "component_id")
     return described.join(named, "sig", "left").select(
@@ -317,10 +324,13 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Rows of ``documents`` without similar ones: of each component the row with the least key,
-    of rows that repeat key and text one. Rows without shingles all stay, but for such repeats."""
-    found = similar_documents(documents, key, text, width, percent)
-    stay = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stays")).distinct()
-    kept = documents.join(stay, documents[f"`{key}`"].eqNullSafe(F.col("_stays")), "left_semi")
+    """Rows of ``documents`` without similar ones: of each component the row with the least key (null
+    last), signature and hash of the text, whatever other rows share its key; of rows that repeat key
+    and text one. Rows without shingles all stay, but for such repeats."""
+    described, known = _linked(documents, key, text, width, percent)
+    least = known.groupBy("label").agg(F.min(F.struct("unnamed", "key", "sig", "print")).alias("n"))
+    stay = least.select("n.key", "n.print").union(described.filter("sig is null").select("key", "print").distinct()).toDF("_stays", "_print")
+    same = documents[f"`{key}`"].eqNullSafe(F.col("_stays")) & (F.xxhash64(documents[f"`{text}`"]) == F.col("_print"))
+    kept = documents.join(stay, same, "left_semi")
     repeats = F.row_number().over(Window.partitionBy(key, text).orderBy(F.lit(1)))
     return kept.withColumn("_repeat", repeats).filter("_repeat = 1").drop("_repeat")

@@ -344,6 +344,23 @@ def test_keep_one_of_each_group(odd):
     assert [name[1] for name in names] == [0, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 11]
 
 
+def test_keep_one_where_ids_repeat_or_miss(spark):
+    near = {name: [" ".join([f"{name}{k}" for k in range(60)] + [f"end{copy}"]) for copy in range(3)] for name in "uvwx"}
+    rows = [(5, text) for text in near["u"]] + [(None, text) for text in near["v"]] + [(None, near["x"][0]), (8, near["x"][1]), (6, near["x"][1])]
+    # A near copy stays away even where an unrelated row has its id; one of two spellings of the same words stays.
+    rows += [(7, near["w"][0]), (9, near["w"][1]), (9, "an unrelated text"), (12, "the same words"), (12, "The  Same words"), (12, "the same words")]
+    kept = [tuple(row) for row in parity_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(str(key) for key, _ in kept) == ["12", "5", "6", "7", "9", "None"]
+    assert {text for key, text in kept if key in (6, 7, 9)} == {near["x"][1], near["w"][0], "an unrelated text"}
+    assert all(row in rows for row in kept)
+
+
+def test_component_of_equal_texts_with_and_without_id(spark):
+    table = spark.createDataFrame([(None, "one two three"), (7, "one two three"), (9, "one two three"), (None, "other")], "doc_id long, text string")
+    found = sorted((tuple(row) for row in parity_join.similar_documents(table).collect()), key=str)
+    assert found == [(7, 1, 7), (9, 1, 7), (None, 1, 7), (None, 1, None)]
+
+
 def test_packing_places_every_id_once(documents, odd):
     for table in (documents, odd):
         pieces = packing.pack_documents(table, BYTES, keep_ids=True).collect()
