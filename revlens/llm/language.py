@@ -4,8 +4,9 @@ Bytes are embedded; filters over two, three and four bytes slide over a window o
 each filter's largest value feeds a softmax. A text is cut into windows from its first to its
 last byte, and its probabilities are the windows' mean, weighted by their bytes.
 
-The network is fitted on the driver on a bounded sample (``FIT_DOCUMENTS`` for each language, at most
-``LANGUAGES`` of the most frequent languages) and sent to the tasks; it has a few kilobytes.
+The network is fitted on the driver on a bounded sample of windows and sent to the tasks. It knows every
+language of the labelled rows: ``FIT_DOCUMENTS`` texts of each, fewer where all would be more than
+``FIT_TEXTS``, but at least one. Windows are drawn from the whole of a text.
 
 Defined cases: a null text and one without a letter are ``und`` with score 0; without any
 labelled text every text is ``und``; with one language every text with a letter has that one.
@@ -13,23 +14,27 @@ labelled text every text is ``und``; with one language every text with a letter
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revlens.session import broadcast_if_bounded, materialise
+
 from .columns import append_columns
 
 FIT_DOCUMENTS = 1000
 HASHES = 2**31
-LANGUAGES = 128
+FIT_TEXTS = 128_000
 WINDOW = 256
 UNKNOWN = "und"
 _WIDEST, _EMBED, _PER_WIDTH, _WIDTHS = 4, 8, 16, (2, 3, 4)
 _FILTERS = _PER_WIDTH * len(_WIDTHS)
 _BLOCK = 128
+_CELLS = 4_000_000
 
 
 def windows_of(raw: bytes, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +139,10 @@ class ByteNetwork:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Label and mean probability of each text, over all its windows."""
+        step = max(1, _CELLS // len(self.labels))
+        if len(texts) > step:
+            parts = [self.predict(texts[begin : begin + step]) for begin in range(0, len(texts), step)]
+            return [name for names, _ in parts for name in names], [score for _, scores in parts for score in scores]
         totals = np.zeros((len(texts), len(self.labels)))
         codes, owners, sizes, held = [], [], [], 0
 
@@ -158,42 +167,46 @@ class ByteNetwork:
         return [self.labels[k] for k in best], totals[np.arange(len(texts)), best].tolist()
 
 
+def training_windows(raw: bytes, seed: int) -> list[bytes]:
+    """Up to three windows and a short piece, at places of the whole text that ``seed`` chooses."""
+    draw = np.random.default_rng(seed)
+    starts = draw.integers(0, len(raw) - WINDOW + 1, 3).tolist() if len(raw) > WINDOW else [0]
+    short = int(draw.integers(8, 65))
+    place = int(draw.integers(0, max(1, len(raw) - short + 1)))
+    return [raw[start : start + WINDOW] for start in starts] + [raw[place : place + short]]
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = FIT_DOCUMENTS) -> ByteNetwork | None:
     """Fits on at most ``per_language`` different texts of each language, those with the least hashes.
 
     Texts are first thinned by their hash to about four times that many of a language, so
-    what is shuffled and ranked doesn't grow with the table, and copies count once.
+    what is shuffled and ranked doesn't grow with the table, and copies count once. Of each of them
+    only the windows to fit on are shuffled and collected.
     """
     rows = labelled.filter(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.withColumn("_h", F.xxhash64("text"))
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_h").alias("texts"))
-    largest = counted.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(row["lang"] for row in largest)
+    counted = materialise(rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("texts")), "languages")
+    languages = sorted(row["lang"] for row in counted.select("lang").collect())
     if not languages:
         return None
-    kept = {row["lang"]: int(min(1.0, 4 * per_language / max(row["texts"], 1)) * HASHES) for row in largest}
-    thinned = rows.filter(
-        F.pmod("_h", F.lit(HASHES)) < F.try_element_at(
-            F.create_map(*[F.lit(x).cast(kind) for pair in kept.items() for x, kind in zip(pair, ("string", "long"))]), F.col("lang")
-        )
-    )
-    # Of a very long text the fit sees its first 16,384 characters; a prediction sees all of it.
-    texts = thinned.groupBy("lang", "_h").agg(F.min(F.substring("text", 1, 16384)).alias("text"))
+    per_language = max(1, min(per_language, FIT_TEXTS // len(languages)))
+    # A few more than four times, so that a language of few texts loses none.
+    bounds = counted.select("lang", (F.least(F.lit(1.0), (4 * per_language + 50) / F.greatest("texts", F.lit(1))) * HASHES).cast("long").alias("_bound"))
+    thinned = rows.join(broadcast_if_bounded(bounds), "lang").filter(F.pmod("_h", F.lit(HASHES)) < F.col("_bound")).select("lang", "_h", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [training_windows(value.as_py().encode("utf-8", "replace"), seed % 2**64)
+                   for value, seed in zip(batch.column(2), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.list_(pa.binary()))], names=["lang", "_h", "windows"])
+
+    texts = thinned.mapInArrow(work, "lang string, _h long, windows array<binary>").groupBy("lang", "_h").agg(F.min("windows").alias("windows"))
     chosen = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    sample = texts.withColumn("_n", chosen).filter(F.col("_n") <= per_language).orderBy("lang", "_n").toPandas()
-    network, draw = ByteNetwork(languages), np.random.default_rng(3)
-    codes, target = [], []
-    for value, name in zip(sample["text"], sample["lang"]):
-        raw = value.encode("utf-8", "replace")
-        starts = draw.integers(0, max(1, len(raw) - WINDOW + 1), 3) if len(raw) > WINDOW else np.zeros(1, np.int64)
-        for place in starts.tolist():
-            codes.append(windows_of(raw[place : place + WINDOW])[0][0])
-            target.append(languages.index(name))
-        short = int(draw.integers(8, 65))
-        place = int(draw.integers(0, max(1, len(raw) - short + 1)))
-        codes.append(windows_of(raw[place : place + short])[0][0])
-        target.append(languages.index(name))
+    sample = texts.withColumn("_n", chosen).filter(F.col("_n") <= per_language).orderBy("lang", "_n").select("lang", "windows").collect()
+    network, places = ByteNetwork(languages), {name: place for place, name in enumerate(languages)}
+    codes = [windows_of(bytes(piece))[0][0] for row in sample for piece in row["windows"]]
+    target = [places[row["lang"]] for row in sample for _ in row["windows"]]
     network.train(np.stack(codes), np.array(target))
     return network
 

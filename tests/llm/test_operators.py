@@ -289,6 +289,26 @@ def test_language_odd_rows(spark, odd):
     assert language.predict_languages(odd.limit(0), network).collect() == []
 
 
+def test_language_learns_from_the_end_of_long_texts(spark):
+    draw = np.random.default_rng(4)
+    same, ends = ["plain", "common", "start"], {"aa": ["zhu", "xiq", "qeng"], "bb": ["ould", "orth", "amble"]}
+    rows = [(name, " ".join([*draw.choice(same, 3000), *draw.choice(words, 12_000)])) for name, words in ends.items() for _ in range(40)]
+    network = language.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert network.predict([" ".join(words * 20) for words in ends.values()])[0] == list(ends)
+
+
+def test_language_knows_every_language(spark):
+    rows = [(f"l{k}", f"{chr(0x4E00 + 7 * k) * 40} {n}") for k in range(140) for n in range(2 if k == 77 else 3)]
+    network = language.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(network.labels) == 140 and network.labels == sorted({name for name, _ in rows})
+    texts = [text for _, text in rows]
+    with pytest.MonkeyPatch.context() as patch:
+        whole = network.predict(texts)
+        patch.setattr(language, "_CELLS", 140 * 7)
+        found = network.predict(texts)
+    assert found[0] == whole[0] and found[1] == pytest.approx(whole[1], abs=1e-5)
+
+
 def brute_components(rows, width, percent):
     sets = {}
     for number, (_, text) in enumerate(rows):
