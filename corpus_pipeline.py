@@ -16,6 +16,10 @@ from revlens.llm import language, packing, parity_join, toxicity
 from revlens.session import shared_folder
 
 
+# Mean probability of "no language" over a text's windows from which the language stage drops it.
+REJECT_SCORE = 0.95
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -27,9 +31,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters; a network learned from the corpus's own labels must name a language."""
-    network = language.fit(docs)
-    return language.predict_languages(docs, network).filter(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
+    """Documents with letters, but for those that a network learned from the corpus's own labels calls
+    text in no language, with a score of ``REJECT_SCORE`` or more. Without labels all with letters stay."""
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
+    network = language.fit(docs, junk=True)
+    if network is None:
+        return lettered
+    rejected = (F.col("lang_pred") == language.UNKNOWN) & (F.col("score") >= REJECT_SCORE)
+    return language.predict_languages(lettered.withColumn("_row", F.struct(*docs.columns)), network).filter(~rejected).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ language of the labelled rows: ``FIT_DOCUMENTS`` texts of each, fewer where all
 
 Defined cases: a null text and one without a letter are ``und`` with score 0; without any
 labelled text every text is ``und``; with one language every text with a letter has that one.
+A network fitted with ``junk`` has ``und`` as one more class, learned from made-up text.
 """
 
 from __future__ import annotations
@@ -176,12 +177,28 @@ def training_windows(raw: bytes, seed: int) -> list[bytes]:
     return [raw[start : start + WINDOW] for start in starts] + [raw[place : place + short]]
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = FIT_DOCUMENTS) -> ByteNetwork | None:
+def junk_windows(pieces: list[bytes], seed: int = 9) -> list[bytes]:
+    """Made-up text without a language: the characters of every third piece in disorder, and as many
+    pieces of random ASCII, of random letters of one alphabet and of random letters of all."""
+    draw = np.random.default_rng(seed)
+    letters = np.array([chr(code) for code in range(0x10000) if chr(code).isalpha()])
+    plain = np.array(list(map(chr, range(32, 127))))
+    out = []
+    for piece in pieces[::3]:
+        marks = np.array(list(piece.decode("utf-8", "ignore") or "?"))
+        begin = int(draw.integers(len(letters) - 40))
+        kinds = (draw.permutation(marks), draw.choice(plain[draw.random(len(plain)) < draw.uniform(0.2, 1)], len(marks)),
+                 draw.choice(letters[begin : begin + 40], len(marks)), draw.choice(letters, len(marks)))
+        out += ["".join(kind).encode()[:WINDOW] for kind in kinds]
+    return out
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = FIT_DOCUMENTS, junk: bool = False) -> ByteNetwork | None:
     """Fits on at most ``per_language`` different texts of each language, those with the least hashes.
 
     Texts are first thinned by their hash to about four times that many of a language, so
     what is shuffled and ranked doesn't grow with the table, and copies count once. Of each of them
-    only the windows to fit on are shuffled and collected.
+    only the windows to fit on are shuffled and collected. With ``junk`` text in no language is a class too.
     """
     rows = labelled.filter(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
@@ -204,9 +221,14 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     texts = thinned.mapInArrow(work, "lang string, _h long, windows array<binary>").groupBy("lang", "_h").agg(F.min("windows").alias("windows"))
     chosen = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
     sample = texts.withColumn("_n", chosen).filter(F.col("_n") <= per_language).orderBy("lang", "_n").select("lang", "windows").collect()
-    network, places = ByteNetwork(languages), {name: place for place, name in enumerate(languages)}
-    codes = [windows_of(bytes(piece))[0][0] for row in sample for piece in row["windows"]]
+    names = sorted({*languages, UNKNOWN}) if junk else languages
+    network, places = ByteNetwork(names), {name: place for place, name in enumerate(names)}
+    pieces = [bytes(piece) for row in sample for piece in row["windows"]]
     target = [places[row["lang"]] for row in sample for _ in row["windows"]]
+    if junk:
+        made = junk_windows(pieces)
+        pieces, target = pieces + made, target + [places[UNKNOWN]] * len(made)
+    codes = [windows_of(piece)[0][0] for piece in pieces]
     network.train(np.stack(codes), np.array(target))
     return network
 

@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 from functools import lru_cache
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -309,6 +310,23 @@ def test_language_knows_every_language(spark):
     assert found[0] == whole[0] and found[1] == pytest.approx(whole[1], abs=1e-5)
 
 
+def test_language_stage_rejects_junk_and_keeps_unlabelled_corpora(spark, documents, odd):
+    draw = np.random.default_rng(8)
+    marks = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
+    junk = [(-1 - k, "".join(draw.choice(marks, 600)), None, 1.5) for k in range(50)]
+    extra = spark.createDataFrame(junk + [(-100, "12 34 !", None, 1.5), (-101, None, None, 1.5)], "doc_id long, text string, lang string, score double")
+    kept = corpus_pipeline.drop_unknown_language(spark, documents.withColumn("score", F.lit(2.5)).unionByName(extra, allowMissingColumns=True), SF)
+    rows = kept.select("doc_id", "score").collect()
+    assert {row["score"] for row in rows if row["doc_id"] >= 0} == {2.5}
+    lettered = {row["doc_id"] for row in documents.collect() if any(map(str.isalpha, row["text"] or ""))}
+    found = {row["doc_id"] for row in rows}
+    assert len([k for k in found if k < 0]) <= 2 and lettered <= found
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    stay = corpus_pipeline.drop_unknown_language(spark, bare, SF)
+    assert stay.columns == bare.columns
+    assert stay.count() == sum(any(map(str.isalpha, text or "")) for _, text in ODD)
+
+
 def brute_components(rows, width, percent):
     sets = {}
     for number, (_, text) in enumerate(rows):
