@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from revlens.session import shared_folder
 
-from . import ann, fingerprints, id_store, language, packing, parity_join, piece_bpe, sharding, toxicity, url_filter
+from . import ann, fingerprints, id_store, language, packing, parity_join, phrases, piece_bpe, sharding, toxicity, url_filter
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -68,11 +68,53 @@ def op10_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (op1_learned_partitions, op2_rendezvous_shards, op3_id_store, op4_toxicity_chain, op5_piece_bpe,
-                  op6_boosted_urls, op7_byte_language, op8_parity_join, op9_sum_of_squares, op10_weighted_samples)
+                  op6_boosted_urls, op7_byte_language, op8_parity_join, op9_sum_of_squares, op10_weighted_samples,
+                  op11_phrase_graph)
 }
 
 # What SQL can't express, or only too slowly on whole tables, is tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_phrase_graph": r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), lists AS (
+        SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces
+    ), grams AS (
+        SELECT lang, k, array_to_string(g, ' ') AS phrase, count(*) AS f
+        FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) AS g
+              FROM lists, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+        GROUP BY ALL
+    ), candidates AS (
+        SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10
+    ), covered AS (
+        SELECT s.lang, s.phrase FROM candidates s
+        JOIN (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+              FROM candidates WHERE k = 3) t USING (lang, phrase)
+        WHERE s.k = 2 AND 100 * t.a >= 50 * s.a
+    ), cuts AS (
+        SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)
+        WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM covered)
+    ), scored AS (
+        SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r,
+               (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+        FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.head JOIN grams y ON y.lang = c.lang AND y.phrase = c.rest
+    ), best AS (
+        SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+    ), totals AS (
+        SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+}
