@@ -38,8 +38,8 @@ LEAST = 10
 TOP = 2000
 # A phrase goes when a longer one has at least this percentage of its occurrences.
 COVERED_PERCENT = 50
-BLOCK_WORDS = 4_000_000
-BUCKET_BYTES = 6_000_000
+BLOCK_WORDS = 1_000_000
+BUCKET_BYTES = 4_000_000
 _CODE_BITS = 21
 _MARK = b"\xff"
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
