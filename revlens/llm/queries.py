@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from revlens.session import shared_folder
 
-from . import ann, fingerprints, id_store, language, packing, parity_join, phrases, piece_bpe, sharding, toxicity, url_filter
+from . import ann, fingerprints, heap_means, id_store, language, packing, parity_join, phrases, piece_bpe, sharding, toxicity, url_filter
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -72,13 +72,52 @@ def op11_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_means.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (op1_learned_partitions, op2_rendezvous_shards, op3_id_store, op4_toxicity_chain, op5_piece_bpe,
                   op6_boosted_urls, op7_byte_language, op8_parity_join, op9_sum_of_squares, op10_weighted_samples,
-                  op11_phrase_graph)
+                  op11_phrase_graph, op13_heap_clusters)
 }
 
+
+
+def _clusters_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """The rounds one after another, each an assignment and floored means."""
+    steps = [f"""
+    kept AS MATERIALIZED (
+        SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    ), centroids0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS cluster, v AS c
+        FROM kept QUALIFY cluster < {clusters}
+    )"""]
+    for turn in range(rounds + 1):
+        steps.append(f"""assigned{turn} AS MATERIALIZED (
+        SELECT place, vec_id, v, cluster, distance FROM (
+            SELECT *, row_number() OVER (PARTITION BY place ORDER BY distance, cluster) AS nearest
+            FROM (SELECT place, vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+                  FROM kept, centroids{turn}))
+        WHERE nearest = 1
+    )""")
+        if turn < rounds:
+            steps.append(f"""centroids{turn + 1} AS MATERIALIZED (
+        SELECT cluster, coalesce(m, c) AS c FROM centroids{turn} LEFT JOIN (
+            SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+                SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+                FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS i FROM assigned{turn}) GROUP BY cluster, i)
+            GROUP BY cluster) USING (cluster)
+    )""")
+    return "WITH " + ", ".join(steps) + f"""
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+           CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM assigned{rounds} JOIN centroids{rounds} USING (cluster)"""
+
+
 # What SQL can't express, or only too slowly on whole tables, is tested against brute force.
 ORACLES: dict[str, str] = {
     "op11_phrase_graph": r"""
@@ -117,4 +156,5 @@ ORACLES: dict[str, str] = {
         SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
     )
     SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op13_heap_clusters": _clusters_sql(),
 }
