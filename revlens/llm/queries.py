@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from revlens.session import shared_folder
 
-from . import ann, fingerprints, heap_means, id_store, language, packing, parity_join, phrases, piece_bpe, sharding, toxicity, url_filter
+from . import ann, fingerprints, heap_means, id_store, language, main_text, packing, parity_join, phrases, piece_bpe, sharding, toxicity, url_filter
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -72,6 +72,11 @@ def op11_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return main_text.extract(pages.select("page_id", "url", "html"), main_text.fit(pages))
+
+
 def op13_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap_means.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -80,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (op1_learned_partitions, op2_rendezvous_shards, op3_id_store, op4_toxicity_chain, op5_piece_bpe,
                   op6_boosted_urls, op7_byte_language, op8_parity_join, op9_sum_of_squares, op10_weighted_samples,
-                  op11_phrase_graph, op13_heap_clusters)
+                  op11_phrase_graph, op12_block_labeller, op13_heap_clusters)
 }
 
 
