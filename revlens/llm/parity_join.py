@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.session import materialise
+from revlens.session import broadcast_if_bounded, materialise
 
+from .columns import quoted
 from .shingles import SKETCH_BITS, Bands, distinct_shingles, parity_sketch, piece_keys, set_signature
 
 WIDTH = 5
@@ -230,35 +231,37 @@ def _edges(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def representative_texts(sigs: DataFrame, nodes: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``sig, text``: one text for each wanted set, that of its least row, found by key and hash of the text.
+
+    Repeated and null keys meet only rows with the same text.
+    """
+    wanted = materialise(nodes.join(sigs, "sig", "left_semi").select("sig", "key", "print"), "wanted-sets")
+    rows = documents.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("text")).withColumn("_print", F.xxhash64("text"))
+    same = F.col("_key").eqNullSafe(F.col("key")) & (F.col("_print") == F.col("print"))
+    found = rows.join(broadcast_if_bounded(wanted), same)
+    # A text is a few kilobytes and a sum of its repeats isn't needed: any of them has this set.
+    return materialise(found.select("sig", "text").dropDuplicates(["sig"]), "wanted-texts")
+
+
 def verify_pairs(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """``a, b, linked`` by the exact sets of both texts."""
-    texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    named = nodes.select("sig", "key")
-    rows = pairs.join(named.select(F.col("sig").alias("a"), F.col("key").alias("a_key")), "a").join(
-        named.select(F.col("sig").alias("b"), F.col("key").alias("b_key")), "b")
-    rows = rows.join(texts.select(F.col("key").alias("a_key"), F.col("text").alias("a_text")), "a_key") if not _nullable_keys(nodes) else rows.join(
-        texts.select(F.col("key").alias("_k"), F.col("text").alias("a_text")), F.col("a_key").eqNullSafe(F.col("_k"))).drop("_k")
-    rows = rows.join(texts.select(F.col("key").alias("b_key"), F.col("text").alias("b_text")), "b_key") if not _nullable_keys(nodes) else rows.join(
-        texts.select(F.col("key").alias("_k"), F.col("text").alias("b_text")), F.col("b_key").eqNullSafe(F.col("_k"))).drop("_k")
+    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    texts = representative_texts(sigs, nodes, documents, key, text)
+    rows = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("a_text")), "a").join(
+        texts.select(F.col("sig").alias("b"), F.col("text").alias("b_text")), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
             sets = [distinct_shingles(batch.column(place).to_pylist(), width) for place in (2, 3)]
             for a, b, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *sets):
-                # A repeated id brings other texts along; only the pair's own sets count.
-                if set_signature(left) == a and set_signature(right) == b:
-                    common = len(np.intersect1d(left, right, assume_unique=True))
-                    for column, value in zip(out, (a, b, 100 * common >= percent * (len(left) + len(right) - common))):
-                        column.append(value)
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                for column, value in zip(out, (a, b, 100 * common >= percent * (len(left) + len(right) - common))):
+                    column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["a", "b", "linked"])
 
-    checked = rows.select("a", "b", "a_text", "b_text").mapInArrow(work, "a long, b long, linked boolean")
-    return checked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
-
-
-def _nullable_keys(nodes: DataFrame) -> bool:
-    return bool(nodes.filter(F.col("key").isNull()).limit(1).count())
+    return rows.select("a", "b", "a_text", "b_text").mapInArrow(work, "a long, b long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -329,8 +332,12 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", widt
     and text one. Rows without shingles all stay, but for such repeats."""
     described, known = _linked(documents, key, text, width, percent)
     least = known.groupBy("label").agg(F.min(F.struct("unnamed", "key", "sig", "print")).alias("n"))
-    stay = least.select("n.key", "n.print").union(described.filter("sig is null").select("key", "print").distinct()).toDF("_stays", "_print")
-    same = documents[f"`{key}`"].eqNullSafe(F.col("_stays")) & (F.xxhash64(documents[f"`{text}`"]) == F.col("_print"))
-    kept = documents.join(stay, same, "left_semi")
-    repeats = F.row_number().over(Window.partitionBy(key, text).orderBy(F.lit(1)))
-    return kept.withColumn("_repeat", repeats).filter("_repeat = 1").drop("_repeat")
+    stay = least.select("n.key", "n.print").union(described.filter("sig is null").select("key", "print").distinct())
+    other = [F.col(quoted(name)) for name in documents.columns if name not in (key, text)]
+    # Of rows that repeat key and text the one with the least hash of its other columns stays.
+    rows = documents.select(F.struct(*[F.col(quoted(name)) for name in documents.columns]).alias("_row"), F.col(quoted(key)).alias("_key"),
+                            F.xxhash64(F.col(quoted(text))).alias("_print"),
+                            (F.xxhash64(F.to_json(F.struct(*other))) if other else F.lit(0)).alias("_order"))
+    kept = rows.join(stay, F.col("_key").eqNullSafe(F.col("key")) & (F.col("_print") == F.col("print")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key", "_print").orderBy("_order"))
+    return kept.withColumn("_first", first).filter("_first = 1").select("_row.*")
