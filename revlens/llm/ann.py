@@ -11,7 +11,7 @@ no other copy can be among the ``k`` nearest. A part is compared in blocks of at
 
 Defined cases: vectors that are null, empty, zero or have null or non-finite components take no
 part, nor do vectors of another length than the most frequent one (the shorter of two equally
-frequent); a repeated id counts once for each of its different vectors; with fewer than ``k``
+frequent); of a repeated id's different vectors the nearest counts; with fewer than ``k``
 candidates all are given; equal scores go to the smaller id.
 """
 
@@ -42,7 +42,14 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(odd, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near 1: exact, and the same cosines."""
+    _, power = np.frexp(np.abs(rows).max(axis=1, keepdims=True))
+    return np.ldexp(rows, -power)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = _scaled(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -187,21 +194,29 @@ def _compare(k: int):
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        queries, rows = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
+        queries, rows = _scaled(np.stack(left["vector"].to_numpy())), _scaled(np.stack(right["vector"].to_numpy()))
         query_size, row_size = np.sqrt((queries * queries).sum(axis=1)), np.sqrt((rows * rows).sum(axis=1))
         ids = [np.asarray(value, np.int64) for value in right["ids"]]
         near = (queries / query_size[:, None]) @ (rows / row_size[:, None]).T
-        wanted = min(k + 1, near.shape[1])
-        bound = np.partition(near, near.shape[1] - wanted, axis=1)[:, near.shape[1] - wanted] - 1e-9
         out = []
         for place, query in enumerate(left["query_id"]):
-            found = np.flatnonzero(near[place] >= bound[place])
+            # An id may have several vectors here, so more rows are taken until enough different ids are among them.
+            wanted = k + 1
+            while True:
+                wanted = min(wanted, len(ids))
+                bound = np.partition(near[place], len(ids) - wanted)[len(ids) - wanted] - 1e-9
+                found = np.flatnonzero(near[place] >= bound)
+                names = np.concatenate([ids[row] for row in found])
+                if wanted == len(ids) or len(np.unique(names[names != query])) >= k:
+                    break
+                wanted *= 4
             exact = (queries[place] * rows[found]).sum(axis=1) / (query_size[place] * row_size[found])
-            counts = [len(ids[row]) for row in found]
-            names, scores = np.concatenate([ids[row] for row in found]), np.repeat(exact, counts)
+            scores = np.repeat(exact, [len(ids[row]) for row in found])
             keep = names != query
             names, scores = names[keep], scores[keep]
-            best = np.lexsort((names, -scores))[:k]
+            best = np.lexsort((names, -scores))
+            # The first place of each id in this order is its best score.
+            best = best[np.sort(np.unique(names[best], return_index=True)[1])][:k]
             out.append(pd.DataFrame({"query_id": query, "vec_id": names[best], "score": scores[best]}))
         return pd.concat(out)
 
