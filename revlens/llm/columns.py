@@ -1,4 +1,7 @@
-"""Adding columns to whole rows in Arrow batches."""
+"""Work on the texts of whole rows in Arrow batches.
+
+Rows travel under names of their own, so columns may be called anything, and each text is sent once.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,19 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def renamed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns as ``_c0``, ``_c1``, ..."""
+    return rows.select(*[F.col(quoted(name)).alias(f"_c{place}") for place, name in enumerate(names)])
+
+
 def append_columns(rows: DataFrame, text: str, fields: list[T.StructField],
                    start: Callable[[], Callable[[list[str | None]], list[list]]]) -> DataFrame:
     """``rows`` with new columns computed from the text column, batch by batch.
@@ -18,7 +31,8 @@ def append_columns(rows: DataFrame, text: str, fields: list[T.StructField],
     """
     taken = {field.name.lower() for field in fields}
     kept = [name for name in rows.columns if name.lower() not in taken]
-    given = rows.select(rows[f"`{text}`"].alias("_text_of_row"), *[rows[f"`{name}`"] for name in kept])
+    given = kept if text in kept else [*kept, text]
+    place = given.index(text)
     schema = T.StructType([rows.schema[name] for name in kept] + fields)
     kinds = {T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BooleanType: pa.bool_()}
     arrow = [kinds[type(field.dataType)] for field in fields]
@@ -27,8 +41,25 @@ def append_columns(rows: DataFrame, text: str, fields: list[T.StructField],
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
         for batch in batches:
-            made = compute(batch.column(0).to_pylist())
-            columns = batch.columns[1:] + [pa.array(values, kind) for values, kind in zip(made, arrow)]
+            made = compute(batch.column(place).to_pylist())
+            columns = batch.columns[: len(kept)] + [pa.array(values, kind) for values, kind in zip(made, arrow)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return given.mapInArrow(work, schema)
+    return renamed(rows, given).mapInArrow(work, schema)
+
+
+def keep_rows(rows: DataFrame, text: str, start: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """Rows whose text passes, with all their columns as they came.
+
+    ``start()`` runs once in a task and returns a function from texts to whether each stays.
+    """
+    place = rows.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = start()
+        for batch in batches:
+            found = batch.filter(pa.array(passes(batch.column(place).to_pylist()), pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns, names=rows_names)
+
+    rows_names = rows.columns
+    return renamed(rows, rows.columns).mapInArrow(work, rows.schema)

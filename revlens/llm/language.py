@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from revlens.session import broadcast_if_bounded, materialise
 
-from .columns import append_columns
+from .columns import append_columns, keep_rows
 
 FIT_DOCUMENTS = 1000
 HASHES = 2**31
@@ -251,6 +251,24 @@ def predict_languages(documents: DataFrame, network: ByteNetwork | None, text: s
     return append_columns(documents, text, fields, start)
 
 
+def drop_unknown(documents: DataFrame, network: ByteNetwork | None, least: float, text: str = "text") -> DataFrame:
+    """Rows with a letter, but for those that ``network`` calls text in no language with a score of
+    ``least`` or more; without a network all with letters."""
+
+    def start() -> Callable[[list[str | None]], list[bool]]:
+        def passes(texts: list[str | None]) -> list[bool]:
+            stay = [bool(value) and any(map(str.isalpha, value)) for value in texts]
+            known = [k for k, good in enumerate(stay) if good] if network is not None else []
+            if known:
+                for k, name, score in zip(known, *network.predict([texts[k] for k in known])):
+                    stay[k] = name != UNKNOWN or score < least
+            return stay
+
+        return passes
+
+    return keep_rows(documents, text, start)
+
+
 def held_out(key: Column) -> Column:
-    """A fifth of all documents, by a checksum of the key."""
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    """A fifth of all documents, by a checksum of the key; rows without a key are not held out."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import quoted, renamed
+
 # The network is fitted on at most so many pages of the table, chosen by hash among those of at most
 # FIT_CHARACTERS, and on so many composed ones.
 FIT_PAGES = 200
@@ -451,7 +453,7 @@ def own_labels(leaves: list[Leaf]) -> np.ndarray | None:
 
 def fit(pages: DataFrame, html: str = "html", fit_pages: int = FIT_PAGES, composed: int = COMPOSED_PAGES) -> Labeller:
     """Labeller fitted on at most ``fit_pages`` different pages with the least hashes, and on composed ones."""
-    column = F.col(f"`{html}`")
+    column = F.col(quoted(html))
     # Copies count once; the limit takes the least hashes without a sort of the whole table.
     hashed = pages.select(F.xxhash64(column).alias("_h"), column.alias("_page")).filter(F.length("_page") <= FIT_CHARACTERS)
     chosen = hashed.select("_h").distinct().orderBy("_h").limit(fit_pages)
@@ -488,4 +490,4 @@ def extract(pages: DataFrame, labeller: Labeller, html: str = "html", keep_block
                                               for leaf, score in zip(found, likely)] for found, likely in zip(leaves, scores)], kind))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=schema.names)
 
-    return pages.select(F.col(f"`{html}`").alias("_page"), *[F.col(f"`{name}`") for name in kept]).mapInArrow(work, schema)
+    return renamed(pages, [html, *kept]).mapInArrow(work, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import append_columns
+from .columns import append_columns, keep_rows
 
 FIT_DOCUMENTS = 4_000
 TERMS_PER_CATEGORY = 400
@@ -128,6 +128,11 @@ class ToxicityChain:
         found[[not text.strip() for text in texts]] = 0.0
         return found
 
+    def judge(self, texts: Sequence[str | None]) -> np.ndarray:
+        """``probabilities`` of any number of texts, null ones as empty."""
+        parts = [self.probabilities([value or "" for value in texts[begin : begin + 500]]) for begin in range(0, len(texts), 500)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.categories)))
+
     @classmethod
     def train(cls, texts: Sequence[str], targets: np.ndarray, categories: Sequence[str], folds: np.ndarray) -> ToxicityChain:
         """``targets`` has one column of 0 and 1 for each category; ``folds`` a number for each row."""
@@ -174,10 +179,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     categories = categories or {"low_quality": "quality = 0", "toxic": "toxic = 1"}
     chosen = labels.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"), *[F.coalesce(F.expr(rule).cast("int"), F.lit(0)).alias(f"_{place}") for place, rule in enumerate(categories.values())]
-    ).orderBy(F.xxhash64("_key"), *[f"_{place}" for place in range(len(categories))]).limit(rows)
-    # At most ``rows`` ids: small enough for every executor.
+    ).groupBy("_key").agg(*[F.max(f"_{place}").alias(f"_{place}") for place in range(len(categories))]).orderBy(F.xxhash64("_key"), "_key").limit(rows)
+    # At most ``rows`` ids: small enough for every executor. Of repeated ids each different text counts once.
     found = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull()) \
-        .join(F.broadcast(chosen), "_key").orderBy("_key", "_text").limit(rows).toPandas()
+        .join(F.broadcast(chosen), "_key").distinct().orderBy(F.xxhash64("_key", "_text"), "_key", "_text").limit(rows).toPandas()
     texts = found["_text"].tolist()
     targets = found[[f"_{place}" for place in range(len(categories))]].to_numpy()
     folds = np.array([hash_fold(value) for value in texts], np.int64)
@@ -197,14 +202,14 @@ def score_documents(documents: DataFrame, fitted: ToxicityChain, text: str = "te
 
     def start() -> Callable[[list[str | None]], list[list]]:
         def compute(texts: list[str | None]) -> list[list]:
-            columns: list[list] = [[] for _ in fields]
-            for begin in range(0, len(texts), 500):
-                found = fitted.probabilities([value or "" for value in texts[begin : begin + 500]])
-                for place in range(found.shape[1]):
-                    columns[place] += found[:, place].tolist()
-                columns[-1] += (found[:, -1] >= threshold).tolist()
-            return columns
+            found = fitted.judge(texts)
+            return [*(column.tolist() for column in found.T), (found[:, -1] >= threshold).tolist()]
 
         return compute
 
     return append_columns(documents, text, fields, start)
+
+
+def drop_toxic(documents: DataFrame, fitted: ToxicityChain, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Rows of ``documents`` whose last category's probability stays under ``threshold``."""
+    return keep_rows(documents, text, lambda: lambda texts: (fitted.judge(texts)[:, -1] < threshold).tolist())

@@ -485,3 +485,48 @@ def test_likeness_estimates_weighted_similarity(spark):
         both = set(a) | set(b)
         return sum(min(weigh(a, w), weigh(b, w)) for w in both) / sum(max(weigh(a, w), weigh(b, w)) for w in both)
     assert found == pytest.approx(np.mean([true(*pair) for pair in pairs]), abs=0.03)
+
+
+def test_nearest_id_with_several_vectors_and_huge_components(spark):
+    rows = [(0, [1.0, 0.0]), *[(1, [1.0, 1e-6 * k]) for k in range(1, 9)], *[(k, [1.0, 0.1 * k]) for k in range(2, 12)]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(table, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [row["vec_id"] for row in found] == [1, 2, 3, 4, 5]
+    for size in (1e200, 1e-200):
+        scaled = spark.createDataFrame([(key, [x * size for x in vector]) for key, vector in rows], "vec_id long, embedding array<double>")
+        again = ann.nearest(scaled, F.col("vec_id") == 0).orderBy("rank").collect()
+        assert [row["vec_id"] for row in again] == [1, 2, 3, 4, 5]
+        assert [row["score"] for row in again] == pytest.approx([row["score"] for row in found])
+
+
+def test_join_of_rows_without_ids_meets_equal_texts_only(spark):
+    draw = np.random.default_rng(4)
+    base = ["".join(map(chr, draw.integers(97, 123, 5))) for _ in range(60)]
+    rows = [(None, " ".join([*base[:30], f"own{k}", *base[30:], f"end{k % 7}"])) for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = parity_join.similar_documents(table, width=3, percent=80).collect()
+    assert len(found) == 300 and {row["component_id"] for row in found} == {None}
+    assert parity_join.keep_one(table, width=3, percent=80).count() == 1
+
+
+def test_stages_keep_columns_of_any_name(spark, documents):
+    names = ["is_toxic", "_stays", "_repeat", "_first", "p_toxic", "score", "key", "print", "_row"]
+    table = documents.limit(60).select("*", *[F.lit(place).alias(name) for place, name in enumerate(names)], F.lit(9).alias("a.b"))
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_unknown_language, corpus_pipeline.drop_near_duplicates):
+        kept = stage(spark, table, SF)
+        assert kept.columns == table.columns
+        rows = kept.collect()
+        assert rows and all(row["a.b"] == 9 and row["is_toxic"] == 0 and row["_stays"] == 1 and row["_row"] == 8 for row in rows)
+
+
+def test_pipeline_from_end_to_end_and_on_no_rows(spark, documents, tmp_path):
+    documents.limit(80).write.parquet(f"{tmp_path}/a/documents.parquet")
+    documents.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for name in "ab":
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    packed_rows = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    kept = documents.limit(80)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, f"{tmp_path}/a")
+    assert {row["doc_id"] for row in packed_rows} == {row["doc_id"] for row in kept.collect()}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
