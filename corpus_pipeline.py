@@ -10,7 +10,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from revlens.llm import language, packing, parity_join, toxicity
 from revlens.session import shared_folder
@@ -18,6 +17,8 @@ from revlens.session import shared_folder
 
 # Mean probability of "no language" over a text's windows from which the language stage drops it.
 REJECT_SCORE = 0.95
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,19 +27,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain doesn't call toxic."""
-    chain = toxicity.fit(docs, _labels(spark, sf_dir))
-    return toxicity.score_documents(docs, chain).filter("not is_toxic").select(docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, but for those that a network learned from the corpus's own labels calls
     text in no language, with a score of ``REJECT_SCORE`` or more. Without labels all with letters stay."""
-    lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
-    network = language.fit(docs, junk=True)
-    if network is None:
-        return lettered
-    rejected = (F.col("lang_pred") == language.UNKNOWN) & (F.col("score") >= REJECT_SCORE)
-    return language.predict_languages(lettered.withColumn("_row", F.struct(*docs.columns)), network).filter(~rejected).select("_row.*")
+    return language.drop_unknown(docs, language.fit(docs, junk=True), REJECT_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +60,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     folder = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    given = spark.conf.get(_BATCH_SETTING)
+    # Smaller Arrow batches while the stages run: texts of one batch are in memory several times.
+    spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set(_BATCH_SETTING, given)
     return docs
