@@ -102,3 +102,24 @@ def broadcast_if_bounded(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) ->
     ``df`` must be a stored table: its count comes from file footers.
     """
     return F.broadcast(df) if df.count() <= row_limit else df
+
+
+class Grown:
+    """Stored table to which a loop adds rows step by step, each step in a folder of its own."""
+
+    def __init__(self, first: DataFrame, name: str) -> None:
+        self._spark, self._schema, self._steps = first.sparkSession, first.schema, 0
+        self._base = f"{shared_folder(self._spark).rstrip('/')}/revlens-{name}-{uuid.uuid4().hex}"
+        self.last = self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Stores ``rows`` and gives them back as read."""
+        path = f"{self._base}/step={self._steps}"
+        rows.select(*self._schema.names).write.parquet(path)
+        self._steps += 1
+        self.last = self._spark.read.schema(self._schema).parquet(path)
+        return self.last
+
+    def all(self) -> DataFrame:
+        """All rows so far, as one scan."""
+        return self._spark.read.schema(self._schema).parquet(*[f"{self._base}/step={step}" for step in range(self._steps)])
