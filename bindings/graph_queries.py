@@ -6,6 +6,8 @@ part is a module that imports one other module of its repository.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from revlens.operators import features, graph, relevance, structure
@@ -58,6 +60,74 @@ def source_files(spark, sf_dir):
     return head.unionByName(base).unionByName(tests)
 
 
+# A module with every kind of definition: decorated, async, nested, private, a property pair and a class
+# in a class; star, relative and re-bound imports; and all syntax that the metrics count.
+VARIED = '''"""Varied module <k>."""
+import os as tool, json
+from pkg.m<k> import rate
+from pkg.m<k> import rate as tool
+from functools import *
+from . import missing
+
+def plain(f):
+    return f
+
+@plain
+async def _fetch(url: str, *, retry: int = 0) -> str:
+    """Reads."""
+    async with tool(url) as handle:
+        data = await handle.read()
+    async for part in data:
+        yield part
+
+class Box<k>:
+    """Holds."""
+    total: int = 1
+    @property
+    def area(self) -> int:
+        assert self.total > 0
+        return self.total
+    @area.setter
+    def area(self, value):
+        self.total = value
+    @rate
+    async def load(self, n):
+        def inner(x):
+            return plain(x)
+        with self.lock:
+            self.total += 1
+        return [inner(i) for i in range(n) if i and n or i]
+    class Meta:
+        def label(self):
+            return lambda v: {v: 1}
+
+def gen(n):
+    try:
+        while n:
+            n -= 1
+            yield from gen(n)
+    except ValueError:
+        raise
+    return {x for x in (y for y in range(n))}, (1 if n else 2), {a: b for a, b in []}
+
+if json:
+    pads = [<pads>]
+'''
+
+
+def varied_files(spark, sf_dir):
+    """One varied module for every part, head side only; a list in it is one to four items long."""
+    rows = parts(spark, sf_dir).withColumn("pads", F.array_join(F.array_repeat(F.lit("0"), (F.col("size") % 4 + 1).cast("int")), ", "))
+    return rows.select(*TARGET, F.lit("head").alias("side"), text_of("pkg/v", "<k>", ".py").alias("path"),
+                       text_of(*re.split("(<k>|<pads>)", VARIED)).alias("code"))
+
+
+def rich_facts(spark, sf_dir):
+    """Head facts with the varied modules beside the others."""
+    head = source_files(spark, sf_dir).unionByName(varied_files(spark, sf_dir)).filter(F.col("side") == "head").drop("side")
+    return materialise(structure.python_facts(head), "facts")
+
+
 def all_facts(spark, sf_dir):
     return materialise(structure.python_facts(source_files(spark, sf_dir)), "facts")
 
@@ -93,13 +163,13 @@ def symbol_index(spark, sf_dir, facts=None):
 
 
 def python_symbols(spark, sf_dir):
-    rows = structure.symbols(structure.python_facts(source_files(spark, sf_dir)))
+    rows = structure.symbols(structure.python_facts(source_files(spark, sf_dir).unionByName(varied_files(spark, sf_dir))))
     return rows.select("repository_id", "side", "path", "qualified_name", "kind", "start_line", "end_line",
                        "potentially_public", "symbol_id")
 
 
 def python_features(spark, sf_dir):
-    files = source_files(spark, sf_dir).filter(F.col("side") == "head").select(
+    files = source_files(spark, sf_dir).unionByName(varied_files(spark, sf_dir)).filter(F.col("side") == "head").select(
         F.concat_ws(":", "repository_id", "path").alias("sample_id"), "code", "path"
     )
     metrics = structure.structure_metrics(structure.python_facts(files.select("sample_id", "code")))
@@ -146,14 +216,14 @@ def innermost_symbols(spark, sf_dir):
 
 
 def dependency_edges(spark, sf_dir):
-    facts = head_facts(spark, sf_dir)
+    facts = rich_facts(spark, sf_dir)
     return graph.dependency_edges(facts, structure.symbols(facts)).select(
         "repository_id", "source", "target", "kind", "expression", "resolved", F.coalesce("reason", F.lit("")).alias("reason")
     )
 
 
 def dependency_nodes(spark, sf_dir):
-    facts = head_facts(spark, sf_dir)
+    facts = rich_facts(spark, sf_dir)
     symbols = structure.symbols(facts)
     nodes = graph.dependency_nodes(facts, symbols, graph.dependency_edges(facts, symbols))
     return nodes.groupBy("repository_id", "kind").agg(
@@ -187,9 +257,9 @@ def relevance_frames(spark, sf_dir):
     node = F.concat(F.lit("tests/test_m"), F.col("user_id"), F.lit(".py::test_rate"),
                     F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("["), F.col("event_id"), F.lit("]"))).otherwise(""))
     cases = with_target(
-        events.filter(F.col("event_type") != "view").select(
+        events.select(
             F.concat(F.lit("r"), F.expr("user_id div 50")).alias("r"), node.alias("node_id"),
-            F.when(F.col("event_type") == "error", "failed").otherwise("passed").alias("outcome"),
+            F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "skipped").otherwise("passed").alias("outcome"),
         ), F.col("r")
     ).drop("r")
     return tests, seeds, edges, cases
@@ -342,6 +412,38 @@ UNION ALL SELECT repository_id, 'symbol', {symbol_id_sql("path", "qualified_name
 UNION ALL SELECT repository_id, 'symbol', {symbol_id_sql("'tests/test_m' || k || '.py'", "'test_rate'", "'function'")}, 'tests.test_m' || k, 'test_rate' FROM {PARTS_SQL}
 UNION ALL SELECT DISTINCT repository_id, 'unresolved', target, '', expression FROM ({EDGES_SQL}) WHERE NOT resolved"""
 
+# Symbols of a varied module: name, kind, lines and whether it may be public; the later of a property pair counts.
+VARIED_SYMBOLS_SQL = """(SELECT p.*, 'pkg/v' || k || '.py' AS path, replace(short, 'Box', 'Box' || k) AS qualified_name, short, kind, start_line, end_line, public
+FROM """ + PARTS_SQL + """ p CROSS JOIN (VALUES ('plain', 'function', 8, 9, true), ('_fetch', 'async_function', 11, 17, false),
+  ('Box', 'class', 19, 38, true), ('Box.area', 'method', 26, 28, true), ('Box.load', 'async_method', 29, 35, true),
+  ('Box.load.<locals>.inner', 'nested_function', 31, 32, false), ('Box.Meta', 'class', 36, 38, true), ('Box.Meta.label', 'method', 37, 38, true),
+  ('gen', 'function', 40, 47, true)) s(short, kind, start_line, end_line, public))"""
+
+# Edges of a varied module: whose, to what ('rate' is the numbered module's, null nothing known), and why not.
+VARIED_EDGES_SQL = f"""
+WITH v AS (SELECT *, {symbol_id_sql('path', 'qualified_name', 'kind')} AS id FROM {VARIED_SYMBOLS_SQL}),
+p AS (SELECT x.*, y.k IS NOT NULL AS live, sha256('module' || chr(0) || 'pkg.v' || x.k)[:24] AS mid,
+  {symbol_id_sql("'pkg/m' || x.k || '.py'", "'rate'", "'function'")} AS rate_id FROM {PARTS_SQL} x LEFT JOIN {LIVE_SQL} y USING (k)),
+e AS (SELECT p.repository_id, coalesce(a.id, mid) AS source,
+    CASE WHEN goal = 'rate' THEN CASE WHEN live THEN rate_id END ELSE b.id END AS target, d.kind, replace(d.expression, '#', p.k::VARCHAR) AS expression, reason
+  FROM p CROSS JOIN (VALUES
+    (NULL, NULL, 'imports', 'os', 'external_or_missing_module'), (NULL, NULL, 'imports', 'json', 'external_or_missing_module'),
+    (NULL, 'rate', 'imports', 'from pkg.m# import rate', 'unresolved_import'), (NULL, 'rate', 'imports', 'from pkg.m# import rate as tool', 'unresolved_import'),
+    (NULL, NULL, 'imports', 'from functools import *', 'star_import_names_unresolved'), (NULL, NULL, 'imports', 'from . import missing', 'unresolved_import'),
+    ('_fetch', NULL, 'decorates', 'plain', 'unresolved_decorator'), ('Box.area', NULL, 'decorates', 'area.setter', 'unresolved_decorator'),
+    ('Box.load', 'rate', 'decorates', 'rate', 'unresolved_decorator'), ('_fetch', 'rate', 'calls', 'tool', 'conservative_static_resolution_failed'),
+    ('_fetch', NULL, 'calls', 'handle.read', 'conservative_static_resolution_failed'), ('Box.load.<locals>.inner', 'plain', 'calls', 'plain', ''),
+    ('Box.load', NULL, 'calls', 'inner', 'conservative_static_resolution_failed'), ('gen', 'gen', 'calls', 'gen', '')) d(owner, goal, kind, expression, reason)
+  LEFT JOIN v a ON a.k = p.k AND a.short = owner LEFT JOIN v b ON b.k = p.k AND b.short = goal)
+SELECT repository_id, source, coalesce(target, sha256('unresolved' || chr(0) || expression)[:24]) AS target, kind, expression,
+  target IS NOT NULL AS resolved, CASE WHEN target IS NULL THEN reason ELSE '' END AS reason FROM e"""
+ALL_EDGES_SQL = f"SELECT * FROM ({EDGES_SQL}) UNION ALL SELECT * FROM ({VARIED_EDGES_SQL})"
+ALL_NODES_SQL = f"""
+SELECT * FROM ({NODES_SQL}) WHERE kind <> 'unresolved'
+UNION ALL SELECT repository_id, 'module', sha256('module' || chr(0) || 'pkg.v' || k)[:24], 'pkg.v' || k, 'pkg.v' || k FROM {PARTS_SQL}
+UNION ALL SELECT repository_id, 'symbol', {symbol_id_sql('path', 'qualified_name', 'kind')}, 'pkg.v' || k, qualified_name FROM {VARIED_SYMBOLS_SQL}
+UNION ALL SELECT DISTINCT repository_id, 'unresolved', target, '', expression FROM ({ALL_EDGES_SQL}) WHERE NOT resolved"""
+
 CHANGED_IDS_SQL = f"SELECT *, {symbol_id_sql('path', 'qualified_name', 'kind')} AS symbol_id FROM ({CHANGES_SQL})"
 
 
@@ -384,7 +486,7 @@ tok AS (SELECT repository_id, k, list_sort(list(DISTINCT token)) AS tokens FROM
   JOIN named USING (repository_id, token)
   WHERE length(token) > 2 AND token NOT IN ('test', 'tests', 'context', 'build', 'changed', 'change', 'python') GROUP BY ALL),
 cases AS (SELECT 'tests/test_m' || user_id || '.py::test_rate' AS node_id, event_id % 3 = 0 AS own,
-  CASE event_type WHEN 'error' THEN 'failed' ELSE 'passed' END AS outcome FROM events WHERE event_type <> 'view'),
+  CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'passed' END AS outcome FROM events),
 obs AS (SELECT node_id, max(outcome) FILTER (own) AS own, min(outcome) FILTER (NOT own) AS lo, max(outcome) FILTER (NOT own) AS hi FROM cases GROUP BY ALL)
 SELECT t.repository_id, t.node_id, CASE WHEN distance = 1 THEN 'direct' WHEN distance > 1 THEN 'indirect' ELSE 'heuristic' END AS relation,
   coalesce(distance, 0)::BIGINT AS distance,
@@ -424,6 +526,14 @@ _test_metrics = {
     "function_count": 1, "import_count": 1, "mean_function_lines": 2, "max_function_lines": 2, "call_count": 1,
     "cyclomatic_complexity": 1,
 }
+# Counted by hand in VARIED: lines of its eight functions are 2, 6, 8, 3, 2, 6, 2 and 2.
+_varied_metrics = {
+    "function_count": 8, "class_count": 2, "branch_count": 2, "exception_count": 3, "import_count": 5, "docstring_count": 3,
+    "mean_function_lines": 3.875, "function_length_std": f"round(sqrt(5.109375), {PLACES})", "max_function_lines": 8, "async_function_count": 2,
+    "decorator_count": 4, "typed_argument_fraction": f"round(2 / 11, {PLACES})", "return_annotation_fraction": 0.25, "lambda_count": 1,
+    "comprehension_count": 4, "assert_count": 1, "with_count": 2, "await_count": 1, "yield_count": 2, "call_count": 7, "assignment_count": 6,
+    "cyclomatic_complexity": 8, "branch_density": f"round(7 / (242 + size % 4), {PLACES})", "docstring_coverage": f"round(3 / 11, {PLACES})",
+}
 # Depth of the deepest branch: module, class, function, return, sum, sum, call, attribute, name, context.
 _depths = {"module": 10, "test": 6}
 
@@ -443,12 +553,15 @@ ORACLES = {
 SELECT repository_id, side, path, qualified_name, kind, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line,
   true AS potentially_public, {symbol_id_sql('path', 'qualified_name', 'kind')} AS symbol_id FROM ({SYMBOLS_SQL})
 UNION ALL SELECT repository_id, 'head', 'tests/test_m' || k || '.py', 'test_rate', 'function', 3, 4, true,
-  {symbol_id_sql("'tests/test_m' || k || '.py'", "'test_rate'", "'function'")} FROM {PARTS_SQL}""",
+  {symbol_id_sql("'tests/test_m' || k || '.py'", "'test_rate'", "'function'")} FROM {PARTS_SQL}
+UNION ALL SELECT repository_id, 'head', path, qualified_name, kind, start_line, end_line, public, {symbol_id_sql('path', 'qualified_name', 'kind')}
+  FROM {VARIED_SYMBOLS_SQL}""",
     "python_features": f"""
 SELECT repository_id || ':pkg/m' || k || '.py' AS sample_id, {_broken(_metric_columns(_module_metrics, _depths['module']))},
   (63 + CASE WHEN ok THEN 0 ELSE 3 END)::DOUBLE AS token_count, (11 + CASE WHEN ok THEN 0 ELSE 1 END)::DOUBLE AS lines
 FROM (SELECT *, size <> 49 AS ok FROM {PARTS_SQL} WHERE size <> 1)
-UNION ALL SELECT repository_id || ':tests/test_m' || k || '.py', {_metric_columns(_test_metrics, _depths['test'])}, 16, 4 FROM {PARTS_SQL}""",
+UNION ALL SELECT repository_id || ':tests/test_m' || k || '.py', {_metric_columns(_test_metrics, _depths['test'])}, 16, 4 FROM {PARTS_SQL}
+UNION ALL SELECT repository_id || ':pkg/v' || k || '.py', {_metric_columns(_varied_metrics, 11)}, 297 + 2 * (size % 4), 50 FROM {PARTS_SQL}""",
     "changed_symbols": f"SELECT repository_id, path, qualified_name, kind, change, signature_changed, body_changed FROM ({CHANGES_SQL})",
     "symbol_index_gaps": f"""
 SELECT repository_id, 'parse_failure' AS gap, 'pkg/m' || k || '.py:head' AS detail FROM {PARTS_SQL} WHERE size = 49
@@ -463,10 +576,10 @@ r AS (SELECT p_type, p_brand, p_name || '.' || p_partkey AS q, p_size AS s, p_si
 m AS (SELECT pts.*, q, e - s AS span, row_number() OVER (PARTITION BY pts.p_type, pts.p_brand, line ORDER BY e - s, q) AS n
   FROM pts JOIN r ON r.p_type = pts.p_type AND r.p_brand = pts.p_brand AND line BETWEEN s AND e)
 SELECT p_type AS repository_id, p_brand AS path, line, q AS qualified_name, span FROM m WHERE n = 1""",
-    "dependency_edges": EDGES_SQL,
+    "dependency_edges": ALL_EDGES_SQL,
     "dependency_nodes": f"""
 SELECT repository_id, kind, count(*) AS nodes, count(DISTINCT node_id) AS ids, count(DISTINCT module) AS modules,
-  min(qualified_name) AS first FROM ({NODES_SQL}) GROUP BY ALL""",
+  min(qualified_name) AS first FROM ({ALL_NODES_SQL}) GROUP BY ALL""",
     "dependency_impacts": IMPACTS_SQL,
     "relevant_tests": RELEVANT_SQL,
     "relevance_contexts": f"""
