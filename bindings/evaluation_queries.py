@@ -113,6 +113,12 @@ def ranking_metrics(spark, sf_dir):
                        F.round("average_precision", PLACES).alias("average_precision"))
 
 
+def model_metrics(spark, sf_dir):
+    """All published metrics of given predictions, as one table."""
+    rows = evaluate.metric_table(predictions(spark, sf_dir), CLASSES, len(features.FEATURE_NAMES))
+    return rows.select("metric", F.round("value", PLACES).alias("value"))
+
+
 def bootstrap_interval(spark, sf_dir):
     rows = evaluate.bootstrap_macro_f1(predictions(spark, sf_dir))
     return rows.select(*[F.round(name, PLACES).alias(name) for name in rows.columns])
@@ -210,21 +216,18 @@ def manifest_violations(spark, sf_dir):
 
 
 def feature_matrix(spark, sf_dir):
+    """All sixty places of the vector, under the names they should have."""
     wide = learn.feature_matrix(features.sample_features(document_samples(spark, sf_dir)))
     vector = vector_to_array("features")
-    return wide.select(
-        "sample_id", F.size(vector).cast("long").alias("columns"), F.round(vector[0], PLACES).alias("first"),
-        F.round(vector[24], PLACES).alias("change_balance"), F.round(vector[59], PLACES).alias("last"),
-    )
-
-
-SCALED = ("lines", "token_count", "mean_line_length", "additions", "class_count")
+    return wide.select("sample_id", F.size(vector).cast("long").alias("columns"),
+                       *[F.round(vector[place], PLACES).alias(name) for place, name in enumerate(features.FEATURE_NAMES)])
 
 
 def scaled_features(spark, sf_dir):
-    wide = materialise(features.sample_features(document_samples(spark, sf_dir)).select("sample_id", *SCALED))
-    ready = learn.scaled(wide, learn.standard_scale(wide, SCALED))
-    return ready.select("sample_id", *[F.round(name, 5).alias(name) for name in SCALED])
+    names = features.FEATURE_NAMES
+    wide = materialise(features.sample_features(document_samples(spark, sf_dir)).select("sample_id", *names))
+    ready = learn.scaled(wide, learn.standard_scale(wide, names))
+    return ready.select("sample_id", *[F.round(name, 5).alias(name) for name in names])
 
 
 def training_features(spark, sf_dir):
@@ -274,6 +277,7 @@ QUERIES = {
     "probability_metrics": probability_metrics,
     "calibration_error": calibration_error,
     "ranking_metrics": ranking_metrics,
+    "model_metrics": model_metrics,
     "bootstrap_interval": bootstrap_interval,
     "estimates": estimates,
     "estimate_violations": estimate_violations,
@@ -333,6 +337,15 @@ scores AS (SELECT replicate, avg(2 * coalesce(hit, 0) / (coalesce(support, 0) +
   WHERE coalesce(support, 0) + coalesce(guessed, 0) > 0 GROUP BY replicate)
 SELECT round(quantile_cont(f1, 0.025), {PLACES}) AS macro_f1_ci_low, round(quantile_cont(f1, 0.975), {PLACES}) AS macro_f1_ci_high FROM scores"""
 
+RANKING_SQL = f"""
+WITH s AS (SELECT class, CASE class WHEN 'ai' THEN p_ai WHEN 'human' THEN p_human ELSE p_hybrid END AS score, (label = class)::INT AS pos
+  FROM {SCORED_SQL} CROSS JOIN (VALUES ('ai'), ('human'), ('hybrid')) v(class)),
+t AS (SELECT class, score, sum(pos) AS pos, count(*) - sum(pos) AS neg FROM s GROUP BY ALL),
+c AS (SELECT *, sum(neg) OVER w - neg AS below, sum(pos) OVER d AS tp, sum(pos + neg) OVER d AS n, sum(pos) OVER (PARTITION BY class) AS p,
+  sum(neg) OVER (PARTITION BY class) AS q FROM t WINDOW w AS (PARTITION BY class ORDER BY score), d AS (PARTITION BY class ORDER BY score DESC))
+SELECT class, sum(pos * (below + neg / 2)) / (max(p) * max(q)) AS roc_auc, sum(pos * tp / n) / max(p) AS average_precision
+FROM c GROUP BY class"""
+
 ORACLES = {
     "bootstrap_interval": BOOTSTRAP_SQL,
     "oracle_results": f"""
@@ -367,14 +380,8 @@ SELECT round(-avg(ln(CASE label WHEN 'ai' THEN p_ai WHEN 'human' THEN p_human EL
     "calibration_error": f"""
 SELECT round(sum(n * abs(acc - conf)) / sum(n), {PLACES})::DOUBLE AS ece_10bin FROM (SELECT least(floor(confidence * 10), 9) AS bin, count(*) AS n,
   avg((label = predicted)::INT) AS acc, avg(confidence) AS conf FROM {PREDICTED_SQL} GROUP BY bin)""",
-    "ranking_metrics": f"""
-WITH s AS (SELECT class, CASE class WHEN 'ai' THEN p_ai WHEN 'human' THEN p_human ELSE p_hybrid END AS score, (label = class)::INT AS pos
-  FROM {SCORED_SQL} CROSS JOIN (VALUES ('ai'), ('human'), ('hybrid')) v(class)),
-t AS (SELECT class, score, sum(pos) AS pos, count(*) - sum(pos) AS neg FROM s GROUP BY ALL),
-c AS (SELECT *, sum(neg) OVER w - neg AS below, sum(pos) OVER d AS tp, sum(pos + neg) OVER d AS n, sum(pos) OVER (PARTITION BY class) AS p,
-  sum(neg) OVER (PARTITION BY class) AS q FROM t WINDOW w AS (PARTITION BY class ORDER BY score), d AS (PARTITION BY class ORDER BY score DESC))
-SELECT class, round(sum(pos * (below + neg / 2)) / (max(p) * max(q)), {PLACES})::DOUBLE AS roc_auc, round(sum(pos * tp / n) / max(p), {PLACES})::DOUBLE AS average_precision
-FROM c GROUP BY class""",
+    "ranking_metrics": f"""SELECT class, round(roc_auc, {PLACES})::DOUBLE AS roc_auc, round(average_precision, {PLACES})::DOUBLE AS average_precision
+FROM ({RANKING_SQL})""",
     "estimates": f"""
 WITH e AS (SELECT sample_id, p_human / t AS h, p_ai / t AS a, coalesce(y, 0) / t AS y, o, u FROM (SELECT *, CASE WHEN lang <> 'en' THEN p_hybrid END AS y,
     p_human + p_ai + coalesce(CASE WHEN lang <> 'en' THEN p_hybrid END, 0) AS t, (sample_id * 13 % 100) / 100 AS o, (sample_id * 7 % 100) / 100 AS u FROM {SCORED_SQL})),
@@ -407,9 +414,26 @@ SELECT 'manifest' AS "table", key, 'duplicate_key' AS rule, count(*)::VARCHAR AS
 UNION ALL SELECT 'manifest', key, 'domain:label', 'robot' FROM m WHERE lang = 'es'
 UNION ALL SELECT 'manifest', key, 'weak_label_source', 'heuristic' FROM m WHERE lang = 'de'
 UNION ALL SELECT 'manifest', key, 'escapes_root:path', '../' || group_id || '/x.py' FROM m WHERE lang = 'fr'""",
-    "feature_matrix": f"""SELECT sample_id, 60::BIGINT AS columns, lines AS first, change_balance, deletion_fraction AS last
+    "feature_matrix": f"""SELECT sample_id, 60::BIGINT AS columns, {", ".join(features.FEATURE_NAMES)}
 FROM ({features_sql(DOCUMENT_SAMPLES_SQL, "#[^" + chr(92) + "n]*")})""",
     "scaled_features": "SELECT sample_id, "
-    + ", ".join(f"round(({n} - avg({n}) OVER ()) / CASE WHEN stddev_pop({n}) OVER () = 0 THEN 1 ELSE stddev_pop({n}) OVER () END, 5) AS {n}" for n in SCALED)
-    + " FROM (" + features_sql(DOCUMENT_SAMPLES_SQL, "#[^" + chr(92) + "n]*", SCALED).replace(f", {PLACES}) AS", ", 15) AS") + ")",
+    + ", ".join(f"round(({n} - avg({n}) OVER ()) / CASE WHEN stddev_pop({n}) OVER () = 0 THEN 1 ELSE stddev_pop({n}) OVER () END, 5) AS {n}" for n in features.FEATURE_NAMES)
+    + " FROM (" + features_sql(DOCUMENT_SAMPLES_SQL, "#[^" + chr(92) + "n]*").replace(f", {PLACES}) AS", ", 15) AS") + ")",
 }
+
+
+def _one_row(name: str) -> str:
+    return f"SELECT metric, value FROM ({ORACLES[name]}) UNPIVOT (value FOR metric IN (COLUMNS(*)))"
+
+
+ORACLES["model_metrics"] = f"""
+SELECT 'group_oof_' || metric AS metric, value FROM ({_one_row("overall_metrics")})
+UNION ALL SELECT CASE WHEN metric IN ('samples', 'groups') THEN metric ELSE 'group_oof_' || metric END, value FROM ({_one_row("probability_metrics")})
+UNION ALL SELECT 'group_oof_' || metric, value FROM ({_one_row("calibration_error")})
+UNION ALL SELECT 'group_oof_' || metric, value FROM ({_one_row("bootstrap_interval")})
+UNION ALL SELECT 'group_oof_roc_auc_ovr_macro', round(avg(roc_auc), {PLACES}) FROM ({RANKING_SQL})
+UNION ALL SELECT 'group_oof_pr_auc_macro', round(avg(average_precision), {PLACES}) FROM ({RANKING_SQL})
+UNION ALL SELECT 'features', 60
+UNION ALL SELECT metric, value FROM ({ORACLES["confusion_matrix"]})
+UNION ALL SELECT 'class_' || class || '_' || name, value FROM (SELECT class, precision, recall, f1, support::DOUBLE AS support FROM ({ORACLES["class_metrics"]}))
+  UNPIVOT (value FOR name IN (precision, recall, f1, support))"""

@@ -13,12 +13,12 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import short_digest
 from ..functions.paths import metric_key
-from ..session import materialise
+from ..session import broadcast_if_bounded, materialise
 from .security import RULES, Rule, scan_code
 from .validation import ValidationError
 
 UNSUPPORTED_NOTE = "oracle is outside the lightweight analyzer rule set"
-RANGE_COUNT = 64
+RANGE_ROWS = 1_000_000
 
 
 # --- analyzer against oracle -------------------------------------------------------
@@ -228,25 +228,26 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 
 def running_totals(
-    frame: DataFrame, group: str, order: str, values: Sequence[str], ranges: int = RANGE_COUNT
+    frame: DataFrame, group: str, order: str, values: Sequence[str], rows_in_range: int = RANGE_ROWS
 ) -> DataFrame:
     """Add ``below_<value>``: the sum over smaller ``order`` within ``group``.
 
-    ``order`` is distinct within a group. Rows are cut into value ranges at approximate
-    quantiles; a window runs inside each range and the totals of earlier ranges (at most
-    ``ranges`` rows per group) are added by a broadcast. No window spans a whole group.
+    ``order`` is distinct within a group. A distributed prefix sum: rows are dealt into ranges of (group,
+    order) of about ``rows_in_range`` rows, so every group is cut at its own values and their number grows
+    with the rows. A window runs inside each range, and what earlier ranges of the group hold is
+    summed over one row for each range. No window spans a group's rows.
     """
-    stored = materialise(frame, "ordered")
-    cuts = sorted(set(stored.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.001)))
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    ranged = stored.withColumn("_range", F.size(F.filter(bounds, lambda cut: cut < F.col(order))))
+    stored = materialise(frame, "totals")
+    ranges = max(1, math.ceil(stored.count() / rows_in_range))
+    # The written range number stays as it is, whatever is computed again later.
+    ranged = materialise(stored.repartitionByRange(ranges, group, order).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy(group, "_range").agg(*[F.sum(name).alias(f"_t_{name}") for name in values])
     earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    offsets = materialise(totals.select(
         group, "_range", *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}") for name in values]
-    )
+    ), "offsets")
     inside = Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(offsets), [group, "_range"])
+    joined = ranged.join(broadcast_if_bounded(offsets), [group, "_range"])
     return joined.select(
         *frame.columns,
         *[(F.col(f"_o_{name}") + F.coalesce(F.sum(name).over(inside), F.lit(0))).alias(f"below_{name}") for name in values],
@@ -282,6 +283,42 @@ def ranking_metrics(predictions: DataFrame, classes: Sequence[str]) -> DataFrame
     )
 
 
+def macro_ranking(per_class: DataFrame) -> DataFrame:
+    """Means over the classes of both areas; null where the area of any class is undefined."""
+    whole = F.count("roc_auc") == F.count(F.lit(1))
+    return per_class.agg(
+        F.when(whole, F.avg("roc_auc")).alias("roc_auc_ovr_macro"), F.when(whole, F.avg("average_precision")).alias("pr_auc_macro"))
+
+
+def metric_table(predictions: DataFrame, classes: Sequence[str], features: int, fit_seconds: float | None = None,
+                 replicates: int = 200, seed: int = 42) -> DataFrame:
+    """``metric, value``: everything that is published of a model's out-of-fold predictions.
+
+    ``features`` is the number of columns the model saw; ``fit_seconds`` is left out where not known, as
+    are values that are undefined. All parts are aggregates of the predictions, of at most classes squared rows.
+    """
+    matrix = confusion(predictions, classes)
+    per_class = class_metrics(matrix)
+
+    def listed(frame: DataFrame, prefix: str = "group_oof_") -> DataFrame:
+        return frame.select(*[F.col(name).cast("double").alias(f"{prefix}{name}") for name in frame.columns]).unpivot(
+            [], [f"{prefix}{name}" for name in frame.columns], "metric", "value")
+
+    scores = probability_metrics(predictions, classes)
+    plain = [("features", float(features))] + ([("fit_seconds", float(fit_seconds))] if fit_seconds is not None else [])
+    by_class = per_class.select(F.explode(F.array(*[
+        F.struct(F.concat(F.lit("class_"), metric_key(F.col("class")), F.lit(f"_{name}")).alias("metric"), F.col(name).cast("double").alias("value"))
+        for name in ("precision", "recall", "f1", "support")
+    ])).alias("m")).select("m.*")
+    parts = [
+        listed(overall_metrics(per_class)), listed(scores.select("log_loss", "multiclass_brier")), listed(scores.select("samples", "groups"), ""),
+        listed(calibration_error(calibration_bins(predictions))), listed(bootstrap_macro_f1(predictions, replicates, seed)),
+        listed(macro_ranking(ranking_metrics(predictions, classes))), by_class, confusion_names(matrix),
+        predictions.sparkSession.createDataFrame(plain, "metric STRING, value DOUBLE"),
+    ]
+    return reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
+
+
 def poisson_thresholds(terms: int = 12) -> list[float]:
     """Cumulative probabilities of a unit-rate Poisson variable."""
     return list(accumulate(math.exp(-1) / math.factorial(k) for k in range(terms)))

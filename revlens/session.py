@@ -10,8 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast side must be proven smaller than this many rows.
+# A broadcast side must be proven smaller than this many rows, and its stored columns than this many bytes.
 BROADCAST_ROW_LIMIT = 500_000
+BROADCAST_BYTE_LIMIT = 32 << 20
 
 
 def build_session(app_name: str = "revlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -96,12 +97,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def broadcast_if_bounded(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after counting ``df``; above the limit the join shuffles.
+def broadcast_if_bounded(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT, byte_limit: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Hint a broadcast only after measuring ``df``; above either limit the join shuffles.
 
-    ``df`` must be a stored table: its count comes from file footers.
+    ``df`` must be a stored table or a projection of one: its count comes from file footers, and its
+    bytes are those its text columns have, each other column counted as 16.
     """
-    return F.broadcast(df) if df.count() <= row_limit else df
+    texts = [field.name for field in df.schema.fields if field.dataType.typeName() in ("string", "binary")]
+    long = [F.coalesce(F.octet_length("`" + name.replace("`", "``") + "`"), F.lit(0)) for name in texts]
+    held = sum(long, F.lit(16 * (len(df.columns) - len(texts))))
+    measured = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(held.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if measured[0] <= row_limit and measured[1] <= byte_limit else df
 
 
 class Grown:
