@@ -63,3 +63,10 @@ def keep_rows(rows: DataFrame, text: str, start: Callable[[], Callable[[list[str
 
     rows_names = rows.columns
     return renamed(rows, rows.columns).mapInArrow(work, rows.schema)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .columns import parts_of
 from .wordwise import byte_level_memory
 
 WINDOW = 2048
@@ -84,9 +85,10 @@ def _relaid(pieces: list[_Piece], names: list[int], window: int) -> Iterator[_Pi
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                   end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+                   end_id: int = END_ID, keep_ids: bool = False, ordinary: bool = False) -> DataFrame:
     """One row for each piece of a document: key, start, length, checksum of its ids, the
-    document's ids, sequence and offset there, and with ``keep_ids`` the ids themselves."""
+    document's ids, sequence and offset there, and with ``keep_ids`` the ids themselves. With
+    ``ordinary`` strings of special tokens are text like any other."""
     rows = documents.select(key, text)
     longs = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     schema = T.StructType([rows.schema[key], *(T.StructField(name, T.LongType()) for name in longs),
@@ -101,14 +103,15 @@ def pack_documents(documents: DataFrame, tokenizer: str, key: str = "doc_id", te
         return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = byte_level_memory(tokenizer)
+        memory = byte_level_memory(tokenizer, ordinary)
         packer = SumOfSquares(window, TaskContext.get().partitionId() * _IDS_PER_PARTITION)
         waiting: dict[int, list[_Piece]] = {}
         kind = None
-        for batch in batches:
+        for batch in parts_of(batches):
             kind, ready = batch.schema.field(0).type, []
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memory.payload(value.as_py() or "") + end
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for name, ids in zip(batch.column(0).to_pylist(), memory.payloads(texts)):
+                ids += end
                 total = len(ids) // 4
                 whole = total - total % window
                 for start in range(0, whole, window):

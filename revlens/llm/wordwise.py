@@ -8,6 +8,7 @@ safe spaces only. The memory of words is emptied when full and never changes a r
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -16,6 +17,7 @@ import numpy as np
 import tokenizers
 
 WORD_LIMIT = 600_000
+WORDS_AT_ONCE = 10_000
 ID_BYTES = 4
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -32,50 +34,52 @@ class WordMemory:
         self._known: dict[str, bytes] = {}
         self._first: dict[str, bytes] = {}
 
-    def _learn(self, parts: list[str]) -> bool:
-        """Learns missing words; False if white space at a word's edge forbids that."""
-        missing = list(set(parts).difference(self._known))
-        if self._spaced and any(not word or word[0].isspace() or word[-1].isspace() for word in missing):
-            return False
-        if len(self._known) + len(missing) > self._limit:
-            self._known.clear()
-            missing = list(set(parts))
-        given = [" " + word for word in missing] if self._spaced else missing
-        self._known.update(zip(missing, self._encode(given)))
-        return True
-
     def payload(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self._spaced:
-            parts = text.replace("\n", " ").split(" ")
+        return self.payloads([text])[0]
+
+    def payloads(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. What is new in any of them goes through the tokenizer in one call."""
+        if self._spaced:
+            parts = [text.split(" ") for text in texts]
+            heads, parts = [part[0] for part in parts], [part[1:] for part in parts]
+        else:
+            heads, parts = [], [text.replace("\n", " ").split(" ") if text else [] for text in texts]
+        self._learn(parts)
+        self._learn_heads(heads)
+        known, out = self._known, []
+        for place, part in enumerate(parts):
             try:
-                return b"".join(map(self._known.__getitem__, parts))
+                head = self._first[heads[place]] if heads else b""
+                out.append(head + b"".join(map(known.__getitem__, part)))
             except KeyError:
-                self._learn(parts)
-                return b"".join(map(self._known.__getitem__, parts))
-        first, *rest = text.split(" ")
-        try:
-            return self._head(first) + b"".join(map(self._known.__getitem__, rest))
-        except KeyError:
-            if self._edges_ok(first) and self._learn(rest):
-                return self._head(first) + b"".join(map(self._known.__getitem__, rest))
+                out.append(self._in_chunks(texts[place]))
+        return out
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        """Learns missing words, but for those with white space at an edge where that matters."""
+        known = self._known
+        missing: set[str] = set()
+        for part in parts:
+            missing.update(itertools.filterfalse(known.__contains__, part))
+        if len(known) + len(missing) > self._limit:
+            known.clear()
+            missing = set().union(*parts)
+        words = [word for word in missing if word and word.strip() == word] if self._spaced else list(missing)
+        for begin in range(0, len(words), WORDS_AT_ONCE):
+            some = words[begin : begin + WORDS_AT_ONCE]
+            known.update(zip(some, self._encode([" " + word for word in some] if self._spaced else some)))
+
+    def _learn_heads(self, heads: list[str]) -> None:
+        """First words have no space before them and are encoded each for itself."""
+        if len(self._first) > self._limit // 10:
+            self._first.clear()
+        missing = [head for head in set(heads).difference(self._first) if not head or not head[-1].isspace()]
+        self._first.update(zip(missing, (self._encode([head])[0] if head else b"" for head in missing)))
+
+    def _in_chunks(self, text: str) -> bytes:
         chunks = _SAFE_SPACE.split(text)
         return b"".join(self._encode([chunks[0], *(" " + chunk for chunk in chunks[1:])]))
 
-    @staticmethod
-    def _edges_ok(first: str) -> bool:
-        return bool(first) and not first[-1].isspace()
-
-    def _head(self, first: str) -> bytes:
-        if not self._edges_ok(first):
-            raise KeyError(first)
-        if first not in self._first:
-            if len(self._first) > self._limit // 10:
-                self._first.clear()
-            self._first[first] = self._encode([first])[0]
-        return self._first[first]
-
 
 def _cut(ids: np.ndarray, places: np.ndarray, ends: np.ndarray) -> list[bytes]:
     data = ids.astype("<u4").tobytes()
@@ -84,41 +88,47 @@ def _cut(ids: np.ndarray, places: np.ndarray, ends: np.ndarray) -> list[bytes]:
 
 class _Words:
     """Many words in few calls of the tokenizers library: words are joined and the joined
-    ids are cut where a vocabulary entry shows a word's edge; where counts differ, one by one."""
+    ids are cut where a vocabulary entry shows a word's edge; where counts differ, one by one.
+    ``ordinary``: strings of special tokens in a text are text like any other."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ordinary: bool = False) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = [""] * (max(vocabulary.values()) + 1)
         for name, number in vocabulary.items():
             self.names[number] = name
 
     def one_by_one(self, words: list[str]) -> list[bytes]:
-        return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def joined_ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
 
 class ByteWords(_Words):
     """Words with a leading space for a byte-level vocabulary: a space begins its first id."""
 
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    def __init__(self, path: str, ordinary: bool = False) -> None:
+        super().__init__(path, ordinary)
         self.begins = np.array([name.startswith("Ġ") for name in self.names])
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        joinable = [word for word in words if word[:1] == " " and word.count(" ") == 1 and not word[-1].isspace() and not word[1:2].isspace()]
-        known = {}
-        if len(joinable) > 1:
-            ids = self.joined_ids("".join(joinable))
+        if len(words) > 1 and self._joinable(words):
+            ids = self.joined_ids("".join(words))
             places = np.flatnonzero(self.begins[ids])
-            if len(places) == len(joinable):
-                known = dict(zip(joinable, _cut(ids, places, np.append(places[1:], len(ids)))))
-        rest = [word for word in words if word not in known]
-        known.update(zip(rest, self.one_by_one(rest)))
-        return [known[word] for word in words]
+            if len(places) == len(words) and places[0] == 0:
+                return _cut(ids, places, np.append(places[1:], len(ids)))
+            if len(words) > 64:
+                # One odd word spoils the count; it costs only its own part to go one by one.
+                half = len(words) // 2
+                return self(words[:half]) + self(words[half:])
+        return self.one_by_one(words)
+
+    @staticmethod
+    def _joinable(words: list[str]) -> bool:
+        """Whether every word is a space and then text without spaces or white space at its edges."""
+        return "".join(words).count(" ") == len(words) and all(word[:1] == " " and word[1:].strip() == word[1:] != "" for word in words)
 
 
 class SeparatedWords(_Words):
@@ -131,8 +141,8 @@ class SeparatedWords(_Words):
 
     MARK = "\x01"
 
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    def __init__(self, path: str, ordinary: bool = False) -> None:
+        super().__init__(path, ordinary)
         self.mark = self.joined_ids(self.MARK)
 
     def __call__(self, words: list[str]) -> list[bytes]:
@@ -141,16 +151,19 @@ class SeparatedWords(_Words):
             joints = np.flatnonzero(ids == self.mark[0])
             if len(joints) == len(words) - 1:
                 return _cut(ids, np.concatenate(([0], joints + 1)), np.append(joints, len(ids)))
+            if len(words) > 64:
+                half = len(words) // 2
+                return self(words[:half]) + self(words[half:])
         return self.one_by_one(words)
 
 
 @lru_cache(maxsize=2)
-def byte_level_memory(path: str) -> WordMemory:
+def byte_level_memory(path: str, ordinary: bool = False) -> WordMemory:
     """One memory for each worker process and tokenizer file."""
-    return WordMemory(ByteWords(path), spaced=True)
+    return WordMemory(ByteWords(path, ordinary), spaced=True)
 
 
 @lru_cache(maxsize=2)
-def separated_word_memory(path: str) -> WordMemory:
+def separated_word_memory(path: str, ordinary: bool = False) -> WordMemory:
     # This tokenizer takes longest for a new word, so more of them are kept (about 0.3 GB).
-    return WordMemory(SeparatedWords(path), spaced=False, limit=2 * WORD_LIMIT)
+    return WordMemory(SeparatedWords(path, ordinary), spaced=False, limit=2 * WORD_LIMIT)

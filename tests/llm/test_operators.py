@@ -48,9 +48,7 @@ def documents(spark):
 
 @lru_cache
 def tokenizer(path):
-    tool = tokenizers.Tokenizer.from_file(path)
-    tool.encode_special_tokens = True
-    return tool
+    return tokenizers.Tokenizer.from_file(path)
 
 
 def ids_of(path, text, end=1):
@@ -197,10 +195,11 @@ def test_words_give_the_ids_of_whole_texts():
     parts = ["a", "The", " ", "  ", "\n", "\t", " \n", "é", "ß", "İ", "1", "23", "'s", "'LL", "!", "<|endoftext|>", "\u00a0", "\u3000", "漢字", "😀", "\u0301", "\x1c", "\r\n", "\x01"]
     draw = np.random.default_rng(1)
     texts = ["".join(draw.choice(parts, draw.integers(0, 40))) for _ in range(1500)]
-    for path, memory in ((WORDS, wordwise.separated_word_memory(WORDS)), (BYTES, wordwise.byte_level_memory(BYTES))):
-        tool = tokenizers.Tokenizer.from_file(path)
-        tool.encode_special_tokens = True
-        assert [packed(e.ids) for e in tool.encode_batch(texts, add_special_tokens=False)] == [memory.payload(t) for t in texts]
+    for ordinary in (False, True):
+        for path, memory in ((WORDS, wordwise.separated_word_memory(WORDS, ordinary)), (BYTES, wordwise.byte_level_memory(BYTES, ordinary))):
+            tool = tokenizers.Tokenizer.from_file(path)
+            tool.encode_special_tokens = ordinary
+            assert [packed(e.ids) for e in tool.encode_batch(texts, add_special_tokens=False)] == memory.payloads(texts)
 
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
