@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from .ranges import range_bounds, range_number
 from .shingles import scramble
+from .columns import parts_of
 from .wordwise import separated_word_memory
 
 MAGIC = b"IDSTORE1"
@@ -232,9 +233,10 @@ def shard_name(number: int) -> str:
 
 
 def write_store(documents: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text",
-                end_id: int = END_ID, dtype: str = "<u2") -> IdStore:
+                end_id: int = END_ID, dtype: str = "<u2", ordinary: bool = False) -> IdStore:
     """Encodes all texts and writes the store under ``path`` (a URI or a path that all
-    executors reach). ``dtype`` must hold every id; it is checked."""
+    executors reach). ``dtype`` must hold every id; it is checked. With ``ordinary`` strings of
+    special tokens are text like any other."""
     rows = documents.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     shards = math.ceil(math.sqrt(rows.count()) / 4)
     bounds = range_bounds(rows, "_key", shards)
@@ -246,17 +248,18 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, key: str = "doc
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(path)
         files.create_dir(root, recursive=True)
-        memory = separated_word_memory(tokenizer)
+        memory = separated_word_memory(tokenizer, ordinary)
         if len(memory._encode.names) - 1 > most or end_id > most:
             raise ValueError(f"{dtype} can't hold every id of {tokenizer}")
         writer, current, done = None, None, []
-        for batch in batches:
-            for shard, name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for batch in parts_of(batches):
+            payloads = memory.payloads(batch.column(2).to_pylist())
+            for shard, name, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), payloads):
                 if shard != current:
                     if writer:
                         done.append((current, *writer.close()))
                     current, writer = shard, ShardWriter(files, f"{root}/{shard_name(shard)}", dtype)
-                writer.add(name, memory.payload(value.as_py()) + end)
+                writer.add(name, ids + end)
         if writer:
             done.append((current, *writer.close()))
         yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in done], pa.int64()) for k in range(3)], names=["shard", "records", "ids"])
