@@ -32,7 +32,7 @@ FIT_DOCUMENTS = 4_000
 TERMS_PER_CATEGORY = 400
 LEAST_ROWS = 5
 FOLDS = 4
-WORD_LIMIT = 300_000
+WORD_LIMIT = 100_000
 _WORD = re.compile(r"\w+")
 _BEGINNINGS = (3, 4, 5, 6)
 _UPPER = bytes(range(65, 91))
