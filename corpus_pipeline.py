@@ -17,7 +17,7 @@ from revlens.session import shared_folder
 
 # Mean probability of "no language" over a text's windows from which the language stage drops it.
 REJECT_SCORE = 0.95
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
