@@ -184,15 +184,30 @@ def catalog_violations(spark, sf_dir):
 
 
 def payload_violations(spark, sf_dir):
+    """Cached payloads of all three datasets, keys in another order than the catalog's; some are altered, some gone."""
     rows = catalog_rows(spark, sf_dir)
     documents = table(spark, sf_dir, "documents").filter(F.col("source") != "src9")
     name = F.concat(F.lit("codeql/python-"), "lang", F.lit("-d-"), "doc_id", F.lit(".py.json"))
-    payloads = documents.select(
-        name.alias("local_path"), F.lit("{}").alias("payload"),
+    none = F.lit(None).cast("string")
+    sources = documents.select(
+        name.alias("local_path"), none.alias("payload"),
         F.when(F.col("source") == "src8", F.upper("text")).otherwise(F.col("text")).alias("content"),
     )
-    kept = rows.filter(F.col("dataset_id") == catalog.CODEQL["dataset_id"])
-    return catalog.payload_violations(kept, payloads)
+    talk = table(spark, sf_dir, "conversations").filter(F.col("turn") % 4 != 3)
+    tasks = talk.select(
+        F.concat(F.lit("swebench/conv__"), "conv_id", F.lit("-"), "turn", F.lit(".json")).alias("local_path"),
+        F.to_json(F.struct(
+            F.col("role").alias("repo"), F.col("role").alias("problem_statement"), F.when(F.col("turn") % 4 == 2, "other").otherwise("diff").alias("patch"),
+            F.concat(F.lit(" conv__"), "conv_id", F.lit("-"), "turn").alias("instance_id"), F.sha1(F.col("conv_id").cast("string")).alias("base_commit"),
+        )).alias("payload"), none.alias("content"))
+    pages = table(spark, sf_dir, "pages").filter(F.col("page_id") % 7 != 2)
+    mentioned = F.concat("url", F.lit("#"), "page_id")
+    links = pages.select(
+        F.concat(F.lit("devgpt/"), F.substr(F.sha2(F.concat("url", F.lit(chr(31)), mentioned), 256), F.lit(1), F.lit(20)), F.lit(".json")).alias("local_path"),
+        F.when(F.col("page_id") % 7 == 1, "no json").otherwise(
+            F.concat(F.lit(' { "URL" :'), F.to_json(F.array("url")).substr(2, 10_000).substr(F.lit(1), F.length(F.to_json(F.array("url"))) - 2),
+                     F.lit(', "MentionedURL": "'), mentioned, F.lit('" } '))).alias("payload"), none.alias("content"))
+    return catalog.payload_violations(rows, sources.unionByName(tasks).unionByName(links))
 
 
 def missing_fields(spark, sf_dir):
@@ -202,7 +217,11 @@ def missing_fields(spark, sf_dir):
         F.when(F.col("role") == "user", F.lit(" ")).otherwise(F.lit("x")).alias("base_commit"),
         F.col("text").alias("problem_statement"), F.col("text").alias("patch"),
     )
-    return validation.missing_fields(rows, "swebench", ("instance_id",), validation.SWEBENCH_FIELDS)
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("record"), F.when(F.col("page_id") % 3 == 0, "  ").otherwise(F.col("url")).alias("URL"),
+        F.when(F.col("page_id") % 5 > 0, F.col("url")).alias("MentionedURL"))
+    return validation.missing_fields(rows, "swebench", ("instance_id",), validation.SWEBENCH_FIELDS).unionByName(
+        validation.missing_fields(pages, "devgpt", ("record",), validation.DEVGPT_FIELDS))
 
 
 def manifest_violations(spark, sf_dir):
@@ -403,11 +422,17 @@ SELECT rule, count(*) AS records, min(key) AS first FROM (
     "payload_violations": """
 SELECT 'fixture_catalog' AS "table", 'codeql-python-tests|python-' || lang || '-d-' || doc_id || '.py' AS key,
   CASE WHEN source = 'src9' THEN 'payload_missing' ELSE 'hash_mismatch' END AS rule, 'codeql/python-' || lang || '-d-' || doc_id || '.py.json' AS detail
-FROM documents WHERE source = 'src9' OR (source = 'src8' AND upper(text) <> text)""",
+FROM documents WHERE source = 'src9' OR (source = 'src8' AND upper(text) <> text)
+UNION ALL SELECT 'fixture_catalog', 'swebench-lite|conv__' || conv_id || '-' || turn, CASE turn % 4 WHEN 3 THEN 'payload_missing' ELSE 'hash_mismatch' END,
+  'swebench/conv__' || conv_id || '-' || turn || '.json' FROM conversations WHERE turn % 4 IN (2, 3)
+UNION ALL SELECT 'fixture_catalog', 'devgpt|' || r, CASE page_id % 7 WHEN 2 THEN 'payload_missing' ELSE 'hash_mismatch' END, 'devgpt/' || r || '.json'
+FROM (SELECT page_id, sha256(url || chr(31) || url || '#' || page_id)[:20] AS r FROM pages) WHERE page_id % 7 IN (1, 2)""",
     "missing_fields": """
 SELECT 'swebench' AS "table", conv_id || '-' || turn AS key, 'missing_fields' AS rule,
   concat_ws(',', CASE WHEN role = 'user' THEN 'base_commit' END, CASE WHEN trim(text) = '' THEN 'patch' END, CASE WHEN trim(text) = '' THEN 'problem_statement' END, CASE WHEN turn <= 2 THEN 'repo' END) AS detail
-FROM conversations WHERE turn <= 2 OR role = 'user' OR trim(text) = ''""",
+FROM conversations WHERE turn <= 2 OR role = 'user' OR trim(text) = ''
+UNION ALL SELECT 'devgpt', page_id::VARCHAR, 'missing_fields', concat_ws(',', CASE WHEN page_id % 5 = 0 THEN 'MentionedURL' END, CASE WHEN page_id % 3 = 0 THEN 'URL' END)
+FROM pages WHERE page_id % 3 = 0 OR page_id % 5 = 0""",
     "manifest_violations": f"""
 WITH m AS (SELECT (sample_id - sample_id % 2)::VARCHAR AS key, * FROM {LABELLED_SQL})
 SELECT 'manifest' AS "table", key, 'duplicate_key' AS rule, count(*)::VARCHAR AS detail FROM m GROUP BY key HAVING count(*) > 1

@@ -53,3 +53,11 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(
         F.struct(*[fields[name].alias(name) for name in sorted(fields)]), {"ignoreNullFields": "false"}
     )
+
+
+def canonical_text(text: Column) -> Column:
+    """Any JSON text as compact JSON with sorted keys at every level; null where it is no JSON.
+
+    Numbers take their shortest form, so 1.50 becomes 1.5 and 1.0 becomes 1.
+    """
+    return F.to_json(F.try_parse_json(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import UNIT_SEPARATOR, canonical_json, joined_digest, sha256_hex
+from ..functions.hashing import UNIT_SEPARATOR, canonical_json, canonical_text, joined_digest, sha256_hex
 from ..functions.paths import escapes_root, slug
 from ..functions.text import strip
 from .validation import union_all, violations
@@ -40,7 +40,7 @@ CODEQL = {
 
 
 def _payload(frame: DataFrame) -> Column:
-    return canonical_json(**{name: F.col(name) for name in frame.columns})
+    return canonical_text(canonical_json(**{name: F.col(name) for name in frame.columns}))
 
 
 def _rows(frame: DataFrame, fixed: dict, record: Column, digest: Column, local: Column, url: Column | None = None) -> DataFrame:
@@ -78,12 +78,14 @@ def codeql_rows(files: DataFrame) -> DataFrame:
 def payload_violations(catalog: DataFrame, payloads: DataFrame) -> DataFrame:
     """Missing, escaping or altered cached payloads.
 
-    ``payloads``: ``local_path, payload`` (canonical JSON) and ``content`` (oracle text).
+    ``payloads``: ``local_path, payload`` (JSON text with keys in any order) and ``content`` (oracle
+    text). A payload that is no JSON is altered.
     """
     joined = catalog.join(payloads, "local_path", "left")
     key = ("dataset_id", "record_id")
     is_oracle = F.col("category") == "security_analyzer_oracle"
-    observed = F.when(is_oracle, sha256_hex(F.coalesce("content", F.lit("")))).otherwise(sha256_hex(F.col("payload")))
+    observed = F.when(is_oracle, sha256_hex(F.coalesce("content", F.lit("")))).otherwise(
+        sha256_hex(F.coalesce(canonical_text(F.col("payload")), F.col("payload"))))
     present = F.col("payload").isNotNull() | F.col("content").isNotNull()
     outside = escapes_root(F.col("local_path"))
     return union_all([
