@@ -349,9 +349,10 @@ SELECT repository_id, 'main' AS branch, o_orderstatus = 'P' AS dirty, CASE WHEN
 FROM {ORDERS_SQL}""",
     "snapshots": f"""
 WITH u AS (SELECT DISTINCT l_orderkey AS k, 'u/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS path, l_partkey, l_suppkey, l_linenumber FROM lineitem),
-e AS (SELECT k, string_agg('00' || hex('UNTRACKED') || '00' || hex(path) || '00' || CASE WHEN l_linenumber = 7
-    THEN hex('SYMLINK') || '00' || hex('to/' || l_suppkey) ELSE hex('FILE') || '00' || upper(sha256('part ' || l_partkey)) END, '' ORDER BY path) AS tail FROM u GROUP BY k),
-s AS (SELECT o.*, CASE WHEN o_orderstatus <> 'F' THEN sha256(unhex(hex('diff ' || o_totalprice) || coalesce(tail, ''))) END AS diff_hash
+g AS (SELECT k, sha256(path)[:3] AS r, sha256(unhex(string_agg('00' || hex('UNTRACKED') || '00' || hex(path) || '00' || CASE WHEN l_linenumber = 7
+    THEN hex('SYMLINK') || '00' || hex('to/' || l_suppkey) ELSE hex('FILE') || '00' || upper(sha256('part ' || l_partkey)) END, '' ORDER BY path))) AS d FROM u GROUP BY k, r),
+e AS (SELECT k, string_agg(r || ':' || d, '' ORDER BY r) AS tail FROM g GROUP BY k),
+s AS (SELECT o.*, CASE WHEN o_orderstatus <> 'F' THEN sha256('diff ' || o_totalprice || coalesce(tail, '')) END AS diff_hash
   FROM {ORDERS_SQL} o LEFT JOIN e USING (k)),
 i AS (SELECT k, sha256('https://host/' || c)[:16] AS repository_id, sha256(k::VARCHAR) AS head_sha, sha1(o_orderpriority) AS tree_hash, diff_hash, o_orderstatus <> 'F' AS dirty FROM s)
 SELECT *, 'snap_' || sha256(concat_ws(chr(31), repository_id, head_sha, tree_hash, coalesce(diff_hash, 'clean')))[:24] AS snapshot_id FROM i""",
