@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import paths
 from revlens.operators import features, ownership
+from revlens.plans import report
 from revlens.schemas import TARGET
 from revlens.sources import files as file_sources
 from revlens.session import spread
@@ -59,11 +60,8 @@ def newest_commits(spark, sf_dir):
 
 
 def commit_medians(spark, sf_dir):
-    commits = commit_log(spark, sf_dir)
-    return commits.groupBy("files_changed").agg(
-        F.count(F.lit(1)).alias("commits_analyzed"), F.round(F.median("additions"), PLACES).alias("median_additions"),
-        F.round(F.median("deletions"), PLACES).alias("median_deletions"),
-    )
+    rows = report.exact_medians(commit_log(spark, sf_dir), ("files_changed",), {"additions": "median_additions", "deletions": "median_deletions"})
+    return rows.select("files_changed", F.col("n").alias("commits_analyzed"), *[F.round(name, PLACES).alias(name) for name in ("median_additions", "median_deletions")])
 
 
 def change_texts(spark, sf_dir):

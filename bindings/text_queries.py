@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import text
 from revlens.operators import features, reuse, security
+from revlens.plans import report
 from revlens.session import materialise
 
 from .inputs import (
@@ -51,17 +52,9 @@ def language_counts(spark, sf_dir):
 
 
 def repository_medians(spark, sf_dir):
-    samples = document_samples(spark, sf_dir)
-    lines = samples.select(
-        "repository_id",
-        text.line_count(F.col("code")).alias("lines"),
-        F.size(F.filter(text.lines_of(F.col("code")), lambda line: ~text.is_blank(line))).alias("nonblank"),
-    )
-    return lines.groupBy("repository_id").agg(
-        F.count(F.lit(1)).alias("files_analyzed"),
-        F.sum("nonblank").cast("long").alias("total_nonblank_lines"),
-        F.round(F.median("lines"), PLACES).alias("median_file_lines"),
-    )
+    rows = report.sample_summary(document_samples(spark, sf_dir), ("repository_id",))
+    return rows.select("repository_id", "files_analyzed", F.col("total_nonblank_lines").cast("long").alias("total_nonblank_lines"),
+                       F.round("median_file_lines", PLACES).alias("median_file_lines"))
 
 
 def document_signals(spark, sf_dir):

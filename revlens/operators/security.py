@@ -56,24 +56,19 @@ def _rule_case(rules: Sequence[Rule], value) -> Column:
 def scan_code(samples: DataFrame, rules: Sequence[Rule] = RULES, code: str = "code") -> DataFrame:
     """One row per match with its rule and 1-based line; text columns are dropped.
 
-    A mark is put before each match, the text is cut into lines, and marks are
-    counted per line. That is linear in the text, keeps every match, stays in the
-    row and so never shuffles.
+    A text is first tried by each rule, which stops at the first match. Only where one matches a mark is put
+    before each of its matches, the text is cut into lines, and marks are counted per line. That is
+    linear in the text, keeps every match, stays in the row and so never shuffles.
     """
     kept = [name for name in samples.columns if name != code]
-    clean = F.translate(F.col(code), _MARK, "\x02")
-    marked = F.array(*[
-        F.struct(
-            F.lit(index).alias("rule"),
-            F.regexp_replace(clean, rule.pattern, f"{_MARK}$0").alias("text"),
-        )
-        for index, rule in enumerate(rules)
-    ])
+    met = F.array_compact(F.array(*[F.when(F.rlike(F.col(code), F.lit(rule.pattern)), F.lit(index)) for index, rule in enumerate(rules)]))
+    hit = samples.select(*kept, F.col(code).alias("_code"), met.alias("_met")).filter(F.size("_met") > 0).select(*kept, "_code", F.explode("_met").alias("_rule"))
+    clean = F.translate(F.col("_code"), _MARK, "\x02")
+    marked = _rule_case(rules, lambda rule: F.regexp_replace(clean, rule.pattern, f"{_MARK}$0"))
     hits = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit(_MARK), F.lit("")))
     repeated = (
-        samples.select(*kept, F.explode(marked).alias("_m"))
-        .filter(F.contains(F.col("_m.text"), F.lit(_MARK)))
-        .select(*kept, F.col("_m.rule").alias("_rule"), F.posexplode(F.split("_m.text", "\n", -1)).alias("_at", "_line"))
+        hit.select(*kept, "_rule", marked.alias("_text"))
+        .select(*kept, "_rule", F.posexplode(F.split("_text", "\n", -1)).alias("_at", "_line"))
         .filter(F.contains("_line", F.lit(_MARK)))
         .select(*kept, "_rule", (F.col("_at") + 1).cast("long").alias("line"),
                 F.explode(F.sequence(F.lit(1), hits)).alias("_n"))
