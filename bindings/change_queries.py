@@ -210,6 +210,12 @@ def path_owners(spark, sf_dir):
     return owned.select("repository_id", "path", owner_text().alias("owners"), F.coalesce("line", F.lit(0)).alias("line"))
 
 
+def unowned_paths(spark, sf_dir):
+    pages = changed_pages(spark, sf_dir)
+    owned = ownership.path_owners(pages.select(*TARGET, "path").distinct(), parsed_owners(spark, sf_dir))
+    return ownership.unowned_paths(owned).select("repository_id", "path")
+
+
 def symbol_owners(spark, sf_dir):
     pages = changed_pages(spark, sf_dir)
     owned = ownership.path_owners(pages.select(*TARGET, "path").distinct(), parsed_owners(spark, sf_dir))
@@ -266,6 +272,7 @@ QUERIES = {
     "owner_rules": owner_rules,
     "owner_issues": owner_issues,
     "path_owners": path_owners,
+    "unowned_paths": unowned_paths,
     "symbol_owners": symbol_owners,
     "ownership_contexts": ownership_contexts,
     "declared_owners": declared_owners,
@@ -364,6 +371,7 @@ WHERE language IS NOT NULL AND strlen(text) <= 250000""",
 WITH h AS (SELECT DISTINCT repository_id FROM ({PAGES_SQL})), i(line, kind, detail) AS (VALUES {_issue_rows})
 SELECT repository_id, line::BIGINT AS line, kind, detail FROM h CROSS JOIN i WHERE length(repository_id) % 2 = 0""",
     "path_owners": f"SELECT repository_id, path, owners, line FROM ({OWNED_SQL})",
+    "unowned_paths": f"SELECT repository_id, path FROM ({OWNED_SQL}) WHERE owners = ''",
     "symbol_owners": f"""
 SELECT page_id::VARCHAR AS symbol_id, path, owners, CASE WHEN line > 0 THEN source_path || ':' || line ELSE '' END AS refs
 FROM ({PAGES_SQL}) JOIN ({OWNED_SQL}) USING (repository_id, path) WHERE ends_with(path, '.py')""",

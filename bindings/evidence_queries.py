@@ -95,9 +95,9 @@ def artifact_violations(spark, sf_dir):
     )
     return validation.union_all([
         validation.duplicates(lineitem, "lineitem", key),
-        validation.malformed_digest(hashed, "lineitem", key, "digest").withColumn("detail", F.lit("")),
-        validation.below_minimum(lineitem, "lineitem", key, "l_tax", 0.0, strict=True).withColumn("detail", F.lit("")),
-        validation.below_minimum(lineitem, "lineitem", key, "l_linenumber", 2).withColumn("detail", F.lit("")),
+        validation.malformed_digest(hashed, "lineitem", key, "digest"),
+        validation.below_minimum(lineitem, "lineitem", key, "l_tax", 0.0, strict=True),
+        validation.below_minimum(lineitem, "lineitem", key, "l_linenumber", 2),
     ])
 
 
@@ -563,10 +563,10 @@ UNION ALL SELECT 'claims', claim_id, 'target_mismatch', repository_id || '|snap_
     "artifact_violations": """
 SELECT 'lineitem' AS "table", l_orderkey || '|' || l_linenumber AS key, 'duplicate_key' AS rule, count(*)::VARCHAR AS detail
   FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
-UNION ALL SELECT 'lineitem', l_orderkey || '|' || l_linenumber, 'sha256:digest', '' FROM lineitem
+UNION ALL SELECT 'lineitem', l_orderkey || '|' || l_linenumber, 'sha256:digest', upper(sha256(l_partkey::VARCHAR)) FROM lineitem
   WHERE l_returnflag = 'R' AND regexp_matches(sha256(l_partkey::VARCHAR), '[a-f]')
-UNION ALL SELECT 'lineitem', l_orderkey || '|' || l_linenumber, 'minimum:l_tax', '' FROM lineitem WHERE l_tax <= 0
-UNION ALL SELECT 'lineitem', l_orderkey || '|' || l_linenumber, 'minimum:l_linenumber', '' FROM lineitem WHERE l_linenumber < 2""",
+UNION ALL SELECT 'lineitem', l_orderkey || '|' || l_linenumber, 'minimum:l_tax', l_tax::VARCHAR FROM lineitem WHERE l_tax <= 0
+UNION ALL SELECT 'lineitem', l_orderkey || '|' || l_linenumber, 'minimum:l_linenumber', l_linenumber::VARCHAR FROM lineitem WHERE l_linenumber < 2""",
     "efficiency": efficiency_sql(0.02, 0.0, 0.02, 100),
     "evidence_quality": f"SELECT detector_id, status, confidence, tags FROM ({QUALITY_SQL})",
     "test_runs": f"SELECT * EXCLUDE (run_id) REPLACE (skipped::BIGINT AS skipped) FROM ({RUNS_SQL})",

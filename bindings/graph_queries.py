@@ -245,6 +245,21 @@ def dependency_impacts(spark, sf_dir):
     return frame.drop("snapshot_id", "head_sha")
 
 
+def impact_sets(spark, sf_dir):
+    """What each changed symbol's impact counts: its dependents by distance, and its own dependencies."""
+    both = all_facts(spark, sf_dir)
+    facts = head_side(both)
+    edges = materialise(graph.dependency_edges(facts, structure.symbols(facts)), "dependency")
+    changes, _, _ = symbol_index(spark, sf_dir, both)
+    pairs = graph.links(edges, graph.IMPACT_KINDS)
+    reach = graph.reverse_reach(changes.select(*TARGET, F.col("symbol_id").alias("seed")), pairs, 4)
+    own = pairs.join(changes.select(*TARGET, F.col("symbol_id").alias("source")), [*TARGET, "source"], "left_semi")
+    return reach.select("repository_id", F.col("seed").alias("symbol_id"), F.lit("dependent").alias("side"), F.col("node").alias("other"),
+                        F.col("depth").cast("long").alias("depth")).unionByName(
+        own.select("repository_id", F.col("source").alias("symbol_id"), F.lit("dependency").alias("side"), F.col("target").alias("other"),
+                   F.lit(1).cast("long").alias("depth")))
+
+
 def relevance_frames(spark, sf_dir):
     both = all_facts(spark, sf_dir)
     facts = head_side(both)
@@ -342,6 +357,7 @@ QUERIES = {
     "dependency_edges": dependency_edges,
     "dependency_nodes": dependency_nodes,
     "dependency_impacts": dependency_impacts,
+    "impact_sets": impact_sets,
     "relevant_tests": relevant_tests,
     "relevance_contexts": relevance_contexts,
     "architecture_reports": architecture_reports,
@@ -581,6 +597,10 @@ SELECT p_type AS repository_id, p_brand AS path, line, q AS qualified_name, span
 SELECT repository_id, kind, count(*) AS nodes, count(DISTINCT node_id) AS ids, count(DISTINCT module) AS modules,
   min(qualified_name) AS first FROM ({ALL_NODES_SQL}) GROUP BY ALL""",
     "dependency_impacts": IMPACTS_SQL,
+    "impact_sets": f"""
+SELECT repository_id, seed AS symbol_id, 'dependent' AS side, node AS other, depth FROM ({IMPACT_REACH_SQL})
+UNION ALL SELECT DISTINCT e.repository_id, source, 'dependency', target, 1 FROM ({EDGES_SQL}) e JOIN ({CHANGED_IDS_SQL}) c
+  ON c.repository_id = e.repository_id AND c.symbol_id = e.source WHERE resolved AND e.kind = 'calls'""",
     "relevant_tests": RELEVANT_SQL,
     "relevance_contexts": f"""
 WITH t AS (SELECT repository_id, count(*) AS n, count(*) FILTER (relation = 'direct') AS d, count(*) FILTER (relation = 'indirect') AS i,
