@@ -256,14 +256,14 @@ def training_features(spark, sf_dir):
     return materialise(wide, "features")
 
 
-# Small forests keep the demonstration short; the defaults of ModelConfig are larger.
-DEMONSTRATION = learn.ModelConfig(trees=20, max_depth=6, novelty_trees=100)
+# The settings of every fit: 300 trees of any depth that Spark ML allows, 200 isolation trees.
+DEFAULTS = learn.ModelConfig()
 
 
 def model_estimates(spark, sf_dir):
     """Fit on the labelled documents, then estimate every one of them with its reuse share."""
     rows = training_features(spark, sf_dir)
-    model = learn.fit(rows, DEMONSTRATION)
+    model = learn.fit(rows, DEFAULTS)
     index = reuse.stored_index(table(spark, sf_dir, "benchmark").select(F.col("text").alias("code")))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("code"))
     shares = reuse.overlap_fractions(texts, index, "sample_id").select(
@@ -277,7 +277,7 @@ def model_estimates(spark, sf_dir):
 
 
 def out_of_fold_metrics(spark, sf_dir):
-    model = learn.fit(training_features(spark, sf_dir), DEMONSTRATION)
+    model = learn.fit(training_features(spark, sf_dir), DEFAULTS)
     scored = evaluate.with_prediction(model.out_of_fold, model.classes)
     overall = evaluate.overall_metrics(evaluate.class_metrics(evaluate.confusion(scored, model.classes)))
     return overall.unpivot([], overall.columns, "metric", "value")
