@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def give_back() -> None:
+    """Frees what a task's Arrow pool still holds: the process goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -44,6 +49,7 @@ def append_columns(rows: DataFrame, text: str, fields: list[T.StructField],
             made = compute(batch.column(place).to_pylist())
             columns = batch.columns[: len(kept)] + [pa.array(values, kind) for values, kind in zip(made, arrow)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return renamed(rows, given).mapInArrow(work, schema)
 
@@ -60,6 +66,7 @@ def keep_rows(rows: DataFrame, text: str, start: Callable[[], Callable[[list[str
         for batch in batches:
             found = batch.filter(pa.array(passes(batch.column(place).to_pylist()), pa.bool_()))
             yield pa.RecordBatch.from_arrays(found.columns, names=rows_names)
+        give_back()
 
     rows_names = rows.columns
     return renamed(rows, rows.columns).mapInArrow(work, rows.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from revlens.session import broadcast_if_bounded, materialise
 
-from .columns import quoted
+from .columns import give_back, quoted
 from .shingles import SKETCH_BITS, Bands, distinct_shingles, parity_sketch, piece_keys, set_signature
 
 WIDTH = 5
@@ -51,6 +51,7 @@ def describe_sets(documents: DataFrame, key: str, text: str, width: int) -> Data
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()),
                  pa.array([m[2] for m in made], pa.binary())], names=schema.names)
+        give_back()
 
     return rows.mapInArrow(work, schema)
 
@@ -77,6 +78,7 @@ def set_pieces(documents: DataFrame, text: str, width: int, percent: int) -> Dat
                     keys, sigs, held = [], [], 0
             if keys:
                 yield _pairs(keys, sigs)
+        give_back()
 
     return documents.select(text).mapInArrow(work, "piece long, sig long")
 
@@ -134,6 +136,7 @@ def shared_pieces(pieces: DataFrame) -> DataFrame:
                 yield flush()
         settle(True)
         yield flush()
+        give_back()
 
     dealt = pieces.repartition("piece").sortWithinPartitions("piece", "sig")
     return dealt.mapInArrow(work, "piece long, chunk int, members array<long>")
@@ -223,6 +226,7 @@ def candidate_pairs(groups: DataFrame, nodes: DataFrame, percent: int, labels: D
                 held.append(row)
             yield _edges(found)
         yield _edges(solve(held))
+        give_back()
 
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(work, "a long, b long").distinct()
 
@@ -260,6 +264,7 @@ def verify_pairs(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, key:
                 for column, value in zip(out, (a, b, 100 * common >= percent * (len(left) + len(right) - common))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["a", "b", "linked"])
+        give_back()
 
     return rows.select("a", "b", "a_text", "b_text").mapInArrow(work, "a long, b long, linked boolean")
 
