@@ -100,8 +100,8 @@ def spread(scan: DataFrame) -> DataFrame:
 def broadcast_if_bounded(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT, byte_limit: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
     """Hint a broadcast only after measuring ``df``; above either limit the join shuffles.
 
-    ``df`` must be a stored table or a projection of one: its count comes from file footers, and its
-    bytes are those its text columns have, each other column counted as 16.
+    ``df`` must be a stored table or a projection of one, so that measuring it is one scan of a few columns:
+    its bytes are those its text columns have, each other column counted as 16.
     """
     texts = [field.name for field in df.schema.fields if field.dataType.typeName() in ("string", "binary")]
     long = [F.coalesce(F.octet_length("`" + name.replace("`", "``") + "`"), F.lit(0)) for name in texts]
