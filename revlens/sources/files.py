@@ -26,6 +26,18 @@ def decode(content) -> F.Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def is_text(content) -> F.Column:
+    """Whether bytes are UTF-8 as they stand."""
+    return F.is_valid_utf8(content.cast("string"))
+
+
+def readable_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files with their text as ``code``, and those whose bytes are no UTF-8 with the reason."""
+    good = files.filter(is_text(F.col("content"))).withColumn("code", F.col("content").cast("string")).drop("content")
+    bad = files.filter(~is_text(F.col("content"))).drop("content").withColumn("reason", F.lit("undecodable content"))
+    return good, bad
+
+
 def code_samples(files: DataFrame, keys: Sequence[str] = TARGET, max_bytes: int | None = None) -> DataFrame:
     """Supported files as samples, with ``max_bytes`` only those up to that size.
 
