@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import parts_of, quoted
-from .wordwise import byte_level_memory
+from .wordwise import WORD_LIMIT, byte_level_memory
 
 WINDOW = 2048
 END_ID = 1
@@ -102,10 +102,11 @@ def put_together(windows: list[tuple[int, int]], window: int) -> dict[int, tuple
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                   end_id: int = END_ID, keep_ids: bool = False, ordinary: bool = False) -> DataFrame:
+                   end_id: int = END_ID, keep_ids: bool = False, ordinary: bool = False, word_limit: int = WORD_LIMIT) -> DataFrame:
     """One row for each piece of a document: key, start, length, checksum of its ids, the
     document's ids, sequence and offset there, and with ``keep_ids`` the ids themselves. With
-    ``ordinary`` strings of special tokens are text like any other."""
+    ``ordinary`` strings of special tokens are text like any other; ``word_limit`` bounds the words a
+    worker process remembers, never the result."""
     rows = documents.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_text"))
     packers = max(1, math.ceil(documents.count() / PACKER_DOCUMENTS))
     kind = rows.schema["_key"].dataType
@@ -116,7 +117,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, key: str = "doc_id", te
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every piece of every document; those that fill a window have it, the others wait for a packer."""
-        memory = byte_level_memory(tokenizer, ordinary)
+        memory = byte_level_memory(tokenizer, ordinary, word_limit)
         part, turn, windows = TaskContext.get().partitionId(), 0, 0
         for batch in parts_of(batches):
             out: list[list] = [[] for _ in sent.names[4:]]

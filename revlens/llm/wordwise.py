@@ -16,7 +16,8 @@ from functools import lru_cache
 import numpy as np
 import tokenizers
 
-WORD_LIMIT = 600_000
+# Words kept by a worker process (about 0.3 GB): an emptied memory learns its frequent words again.
+WORD_LIMIT = 1_200_000
 WORDS_AT_ONCE = 10_000
 ID_BYTES = 4
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -158,12 +159,11 @@ class SeparatedWords(_Words):
 
 
 @lru_cache(maxsize=2)
-def byte_level_memory(path: str, ordinary: bool = False) -> WordMemory:
+def byte_level_memory(path: str, ordinary: bool = False, limit: int = WORD_LIMIT) -> WordMemory:
     """One memory for each worker process and tokenizer file."""
-    return WordMemory(ByteWords(path, ordinary), spaced=True)
+    return WordMemory(ByteWords(path, ordinary), spaced=True, limit=limit)
 
 
 @lru_cache(maxsize=2)
-def separated_word_memory(path: str, ordinary: bool = False) -> WordMemory:
-    # This tokenizer takes longest for a new word, so more of them are kept (about 0.3 GB).
-    return WordMemory(SeparatedWords(path, ordinary), spaced=False, limit=2 * WORD_LIMIT)
+def separated_word_memory(path: str, ordinary: bool = False, limit: int = WORD_LIMIT) -> WordMemory:
+    return WordMemory(SeparatedWords(path, ordinary), spaced=False, limit=limit)
