@@ -18,6 +18,8 @@ from revlens.session import shared_folder
 # Mean probability of "no language" over a text's windows from which the language stage drops it.
 REJECT_SCORE = 0.95
 BATCH_BYTES = 4 << 20
+# Words remembered while packing: fewer than by default, as the processes have run the other stages too.
+PACK_WORDS = 600_000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -43,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 2,048 token ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), word_limit=PACK_WORDS)
 
 
 STAGES = [
