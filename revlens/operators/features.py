@@ -78,7 +78,7 @@ def _count_where(array: Column, condition) -> Column:
 
 def _squares(items: str) -> Column:
     """Sum of squared lengths of an array of texts."""
-    return text.sum_of(F.col(items), lambda item: F.length(item) * F.length(item))
+    return text.sum_of(F.col(items), lambda item: F.length(item).cast("long") * F.length(item))
 
 
 def _count_words(words: Column, wanted: Sequence[str]) -> Column:
