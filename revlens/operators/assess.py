@@ -262,7 +262,9 @@ def security_finding(rollup: DataFrame, keys: Sequence[str] = TARGET) -> DataFra
 
 
 def signed_decimal(value: Column) -> Column:
-    return F.format_string("%+.4f", value)
+    """Four places. Exact halves, which are odd multiples of 1/32, go to the even digit; others the formatter rounds."""
+    half = F.pmod(value * 32, F.lit(2.0)) == 1
+    return F.format_string("%+.4f", F.when(half, F.bround(value, 4)).otherwise(value))
 
 
 def efficiency_finding(targets: DataFrame, reports: DataFrame, keys: Sequence[str] = TARGET) -> DataFrame:

@@ -146,3 +146,21 @@ def test_strict_validation(spark):
     validation.require_clean(validation.not_in_domain(frame, "t", ("id",), "id", ("a", "b")))
     stamps = spark.createDataFrame([("1", "2024-01-01T00:00:00+02:00"), ("2", "2024-01-01T00:00:00")], "id STRING, created_at STRING")
     assert [r["key"] for r in validation.naive_timestamp(stamps, "t", ("id",)).collect()] == ["2"]
+
+
+def test_changes_show_four_places_of_their_unrounded_values(spark):
+    """0.1234498 is 0.123450 with six places; 1/32 is a half exactly and goes to the even digit."""
+    import duckdb
+
+    from bindings import evidence_queries
+    from revlens.operators import assess
+
+    connection = duckdb.connect()
+    connection.execute("""CREATE TABLE lineitem AS SELECT * FROM (VALUES
+        (1, 10000.0::DOUBLE, 32.0::DOUBLE, TIMESTAMP '1997-01-01'), (1, 11234.498, 33.0, TIMESTAMP '1998-02-01')
+        ) t(l_suppkey, l_extendedprice, l_quantity, l_shipdate)""")
+    sql = evidence_queries.efficiency_sql(0.2, 0.2, 0.2, 3, evidence_queries.REFERENCES_SQL)
+    shown = connection.execute(f"SELECT refs FROM ({sql})").fetchone()[0].split("|")
+    assert [text.rsplit(":", 1)[1] for text in shown] == ["+0.0312", "+0.1234", "+0.0312"]
+    values = spark.createDataFrame([(0.03125,), (0.1234498,), (-0.03125,), (0.09375,)], "v DOUBLE")
+    assert [row[0] for row in values.select(assess.signed_decimal(F.col("v"))).collect()] == ["+0.0312", "+0.1234", "-0.0312", "+0.0938"]
