@@ -64,3 +64,19 @@ def test_broadcast_needs_few_rows_and_few_bytes(spark):
     hinted = lambda frame: "broadcast" in frame._jdf.queryExecution().analyzed().toString().lower()
     assert hinted(broadcast_if_bounded(stored))
     assert not hinted(broadcast_if_bounded(stored, byte_limit=40_000)) and not hinted(broadcast_if_bounded(stored, row_limit=49))
+
+
+def test_rows_to_be_ordered_are_computed_once(spark, tmp_path):
+    """Finding ranges takes a pass of its own, which must not run the query a second time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frame = spark.range(1000, numPartitions=4).mapInArrow(counted, "id LONG")
+    documents.write_json(frame, f"{tmp_path}/out", ("id",))
+    assert seen.value == 1000
+    back = documents.read_in_order(spark, f"{tmp_path}/out", "id LONG").orderBy("_place").collect()
+    assert [row["id"] for row in back] == list(range(1000))
