@@ -197,7 +197,8 @@ def sample_features(samples: DataFrame, structure: DataFrame | None = None) -> D
     tree = structure.select(
         F.col("sample_id"), *[F.col(name).alias(f"_tree_{name}") for name in STRUCTURE_NAMES]
     )
-    joined = result.join(tree, "sample_id", "left")
+    # A parser's output is estimated by its input, far too small, and must not be broadcast for it.
+    joined = result.join(tree.hint("merge"), "sample_id", "left")
     return joined.select(
         *kept,
         *[
