@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions.text import SPACE_CLASS, WORD_CLASS
+from ..functions.text import SPACE_CLASS, WORD_CLASS, each
 from ..schemas import SEVERE, TARGET
 
 _S = f"[{SPACE_CLASS}]*"
@@ -62,7 +62,7 @@ def scan_code(samples: DataFrame, rules: Sequence[Rule] = RULES, code: str = "co
     """
     kept = [name for name in samples.columns if name != code]
     met = F.array_compact(F.array(*[F.when(F.rlike(F.col(code), F.lit(rule.pattern)), F.lit(index)) for index, rule in enumerate(rules)]))
-    hit = samples.select(*kept, F.col(code).alias("_code"), met.alias("_met")).filter(F.size("_met") > 0).select(*kept, "_code", F.explode("_met").alias("_rule"))
+    hit = samples.select(*kept, F.col(code).alias("_code"), each(met).alias("_rule"))
     clean = F.translate(F.col("_code"), _MARK, "\x02")
     marked = _rule_case(rules, lambda rule: F.regexp_replace(clean, rule.pattern, f"{_MARK}$0"))
     hits = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit(_MARK), F.lit("")))
