@@ -11,7 +11,7 @@ def plan_of(spark, name):
     return registered.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["change_features"])
+@pytest.mark.parametrize("name", ["change_features", "change_contexts"])
 def test_changes_are_shuffled_by_digest(spark, name):
     assert "hashpartitioning(repository_id" not in plan_of(spark, name)
 
