@@ -16,6 +16,11 @@ def test_changes_are_shuffled_by_digest(spark, name):
     assert "hashpartitioning(repository_id" not in plan_of(spark, name)
 
 
+def test_untracked_entries_are_made_after_the_shuffle(spark):
+    plan = plan_of(spark, "snapshots")
+    assert "UNTRACKED" not in plan and "partial_collect_list(struct(_range" in plan
+
+
 def test_packed_keys_come_back_and_nulls_match_nothing(spark):
     from revlens.functions import hashing
 
