@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing
+from ..functions.hashing import PACKED
 from ..functions.text import is_blank
 from ..schemas import ACTION_DIMENSIONS, DIMENSIONS, SEVERE, TARGET
 
@@ -317,27 +319,30 @@ def assess(findings: DataFrame, targets: DataFrame, keys: Sequence[str] = TARGET
     :func:`validation.repeated_findings` lists it.
     """
     keys = list(keys)
-    dimension = F.col("dimension")
-    values = []
-    for name in DIMENSIONS:
-        here = dimension == name
-        values += [
-            F.max(F.when(here, F.col("status"))).alias(f"_s_{name}"),
-            F.max(F.when(here, F.col("confidence"))).alias(f"_c_{name}"),
-            F.count_if(here).alias(f"_n_{name}"),
-        ]
+    # One narrow row for each target and dimension, under one digest of the keys; what has another dimension gives only its tags.
     unverified = F.array_contains("tags", "TEST_RESULT_UNVERIFIED")
-    grouped = findings.groupBy(*keys).agg(
-        *values,
-        F.max(F.when(dimension == "security_risk", F.col("severity"))).alias("_security"),
-        F.coalesce(
-            F.bool_or(F.when(dimension == "functional_evidence", unverified)), F.lit(False)
-        ).alias("_unverified"),
-        F.flatten(F.collect_list("tags")).alias("_tags"),
+    ranked = findings.select(
+        hashing.key_digest(keys).alias(PACKED), F.coalesce(F.array_position(F.array(*map(F.lit, DIMENSIONS)), F.col("dimension")), F.lit(0)).cast("int").alias("_d"),
+        "status", "confidence", "severity", "tags",
     )
+    cells = ranked.groupBy(PACKED, "_d").agg(
+        F.count(F.lit(1)).alias("n"), F.max("status").alias("status"), F.max("confidence").alias("confidence"),
+        F.max("severity").alias("severity"), F.coalesce(F.bool_or(unverified), F.lit(False)).alias("unverified"),
+        F.flatten(F.collect_set("tags")).alias("tags"),
+    )
+    grouped = cells.groupBy(PACKED).agg(F.map_from_entries(F.collect_list(
+        F.struct("_d", F.struct("n", "status", "confidence", "severity", "unverified", "tags")))).alias("_cells"))
+    cell = lambda name: F.try_element_at("_cells", F.lit(DIMENSIONS.index(name) + 1))
     passed = [name for name in targets.columns if name not in (*keys, "tags")]
-    frame = targets.select(*keys, *passed, F.col("tags").alias("_request")).join(grouped, keys, "left").filter(
-        F.coalesce(F.greatest(*[F.col(f"_n_{name}") for name in DIMENSIONS]), F.lit(0)) <= 1
+    joined = targets.select(*keys, *passed, F.col("tags").alias("_request"), hashing.key_digest(keys).alias(PACKED)).join(grouped, PACKED, "left")
+    repeated = F.exists(F.map_entries("_cells"), lambda entry: (entry["key"] > 0) & (entry["value"]["n"] > 1))
+    frame = joined.filter(~F.coalesce(repeated, F.lit(False))).select(
+        *keys, *passed, "_request",
+        *[cell(name)["status"].alias(f"_s_{name}") for name in DIMENSIONS],
+        *[cell(name)["confidence"].alias(f"_c_{name}") for name in DIMENSIONS],
+        cell("security_risk")["severity"].alias("_security"),
+        F.coalesce(cell("functional_evidence")["unverified"], F.lit(False)).alias("_unverified"),
+        F.flatten(F.transform(F.map_values("_cells"), lambda value: value["tags"])).alias("_tags"),
     )
 
     def status(name: str) -> Column:

@@ -16,6 +16,11 @@ def test_changes_are_shuffled_by_digest(spark, name):
     assert "hashpartitioning(repository_id" not in plan_of(spark, name)
 
 
+def test_findings_are_routed_by_digest(spark):
+    plan = plan_of(spark, "routed_orders")
+    assert "hashpartitioning(repository_id" not in plan and "hashpartitioning(_target" in plan
+
+
 def test_untracked_entries_are_made_after_the_shuffle(spark):
     plan = plan_of(spark, "snapshots")
     assert "UNTRACKED" not in plan and "partial_collect_list(struct(_range" in plan
