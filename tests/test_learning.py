@@ -127,3 +127,25 @@ def test_analyzer_gaps_stay_misses(spark):
     assert summary["recall"] == 0.0 and summary["precision"] is None and summary["f1"] is None
     odd = results.filter("fixture_id = 'odd'").first()
     assert not odd["detected"] and odd["matched_rule_ids"] == ["PY-EVAL"] and odd["notes"] == [evaluate.UNSUPPORTED_NOTE]
+
+
+def test_folds_train_together_in_few_tasks(spark, monkeypatch):
+    """Each fold waits for the others, and a few rows of many partitions train in one task."""
+    import threading
+
+    together, tasks = threading.Barrier(3, timeout=60), []
+
+    def train(training, config):
+        tasks.append(training.rdd.getNumPartitions())
+        together.wait()
+        raise InterruptedError
+
+    monkeypatch.setattr(learn, "_fit_forest", train)
+    rows = spark.range(60).repartition(4).select(
+        F.col("id").alias("sample_id"), F.concat(F.lit("g"), F.col("id") % 12).alias("group_id"),
+        F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("id") % 3 + 1).cast("int")).alias("label"),
+        *[F.col("id").cast("double").alias(name) for name in learn.FEATURE_NAMES],
+    )
+    with pytest.raises(InterruptedError):
+        learn.cross_fit(rows, learn.ModelConfig(folds=3))
+    assert tasks == [1, 1, 1]
