@@ -32,3 +32,7 @@ def test_packed_keys_come_back_and_nulls_match_nothing(spark):
     rows = spark.createDataFrame([("a", "bc", 1), ("ab", "c", 2), (None, "c", 3)], "x string, y string, v int")
     back = hashing.unpack(hashing.pack(rows, ["x", "y"]), rows, ["x", "y"])
     assert sorted(map(tuple, back.collect())) == [("a", "bc", 1), ("ab", "c", 2)]
+
+
+def test_symbols_are_looked_up_in_a_stored_table(spark):
+    assert "max_by(symbol_id" not in plan_of(spark, "dependency_edges")
