@@ -149,3 +149,20 @@ def test_folds_train_together_in_few_tasks(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         learn.cross_fit(rows, learn.ModelConfig(folds=3))
     assert tasks == [1, 1, 1]
+
+
+def test_passes_send_no_trees_and_few_tasks_score(spark, feature_rows, monkeypatch):
+    """Rows keep their nodes, which changes no tree; a few rows of many partitions are scored in one task."""
+    fitted, fit = [], learn.RandomForestClassifier.fit
+
+    def keep(estimator, training):
+        model = fit(estimator, training)
+        plain = fit(estimator.copy().setCacheNodeIds(False), training)
+        fitted.append((estimator.getCacheNodeIds(), model.toDebugString.partition("\n")[2], plain.toDebugString.partition("\n")[2]))
+        return model
+
+    monkeypatch.setattr(learn.RandomForestClassifier, "fit", keep)
+    model = learn.fit(feature_rows.repartition(4), learn.ModelConfig(folds=3, trees=5, novelty_trees=5))
+    assert len(fitted) == 3
+    assert all(kept and with_ids == without for kept, with_ids, without in fitted)
+    assert model.calibrated(feature_rows.repartition(4)).rdd.getNumPartitions() == 1
