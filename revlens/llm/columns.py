@@ -5,6 +5,7 @@ Rows travel under names of their own, so columns may be called anything, and eac
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,8 +15,11 @@ from pyspark.sql import types as T
 
 
 def give_back() -> None:
-    """Frees what a task's Arrow pool still holds: the process goes on to other tasks."""
+    """Gives the system what a task's Arrow pool and freed arrays still hold: the process goes on to other tasks."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def quoted(name: str) -> str:

@@ -13,7 +13,7 @@ import xxhash
 
 SKETCH_BITS = 1024
 PIECE_BITS = 256
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 _SPACES = re.compile(rb"[\x20\x09-\x0D]")
 
 # One random 64-bit number for every byte, A-Z as a-z; white space ends words.

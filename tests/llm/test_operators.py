@@ -541,3 +541,34 @@ def test_pipeline_from_end_to_end_and_on_no_rows(spark, documents, tmp_path):
         kept = stage(spark, kept, f"{tmp_path}/a")
     assert {row["doc_id"] for row in packed_rows} == {row["doc_id"] for row in kept.collect()}
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
+
+
+def test_tasks_give_freed_memory_back():
+    """Small arrays freed below one that is still held stay with the process until it trims its heap."""
+    from pathlib import Path
+
+    from revlens.llm.columns import give_back
+
+    def resident() -> int:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 >> 20
+
+    arrays = [np.ones(8_000) for _ in range(4_000)]
+    held, full = arrays[-1], resident()
+    del arrays
+    give_back()
+    assert len(held) and full - resident() > 150
+
+
+def test_shingle_sets_take_little_working_memory():
+    """The working arrays of a batch stay under 20 MB, and sets don't depend on how it is cut."""
+    import tracemalloc
+
+    from revlens.llm import shingles
+
+    texts = [" ".join(f"w{(row * 31 + place) % 5003}" for place in range(20_000)) for row in range(12)]
+    tracemalloc.start()
+    found = [value.copy() for value in shingles.distinct_shingles(texts, 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    assert all(np.array_equal(value, next(shingles.distinct_shingles([text], 5))) for value, text in zip(found, texts))
