@@ -1,8 +1,9 @@
 """N-gram Jaccard join by parity sketches.
 
-Every document is a set of word shingles. In each size band a sketch of one parity bit for each
-hash place is cut into more pieces than two similar sets can differ in elements, so similar sets
-share a piece, and one shuffle by piece brings them together. Sets that share a piece are compared by
+Every document is a set of word shingles. In each size band a sketch has more pieces, of 64 parity
+bits each, than two similar sets can differ in elements, so similar sets share a piece, and one
+shuffle by piece brings them together. Unlike sets share one only with all their elements in it, so
+chance adds no candidates as the sets grow in number. Sets that share a piece are compared by
 a further sketch, whose Hamming distance never exceeds the symmetric difference; what passes is
 verified on the whole texts. Nothing similar is missed, but for equal 64-bit hashes.
 
@@ -339,10 +340,13 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", widt
     least = known.groupBy("label").agg(F.min(F.struct("unnamed", "key", "sig", "print")).alias("n"))
     stay = least.select("n.key", "n.print").union(described.filter("sig is null").select("key", "print").distinct())
     other = [F.col(quoted(name)) for name in documents.columns if name not in (key, text)]
-    # Of rows that repeat key and text the one with the least hash of its other columns stays.
-    rows = documents.select(F.struct(*[F.col(quoted(name)) for name in documents.columns]).alias("_row"), F.col(quoted(key)).alias("_key"),
-                            F.xxhash64(F.col(quoted(text))).alias("_print"),
+    # Key and hash are one value, for which null keys are equal: rows are dealt out once, for the window and the join.
+    rows = documents.select(F.struct(*[F.col(quoted(name)) for name in documents.columns]).alias("_row"),
+                            F.struct(F.col(quoted(key)).alias("key"), F.xxhash64(F.col(quoted(text))).alias("print")).alias("_id"),
                             (F.xxhash64(F.to_json(F.struct(*other))) if other else F.lit(0)).alias("_order"))
-    kept = rows.join(stay, F.col("_key").eqNullSafe(F.col("key")) & (F.col("_print") == F.col("print")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key", "_print").orderBy("_order"))
-    return kept.withColumn("_first", first).filter("_first = 1").select("_row.*")
+    # Of rows that repeat key and text the one with the least hash of its other columns stays.
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("_order"))
+    single = rows.withColumn("_first", first).filter("_first = 1")
+    # A hash of a text is never null; said so here too, both sides have one type and the join deals nothing out again.
+    kept = stay.select(F.struct("key", F.coalesce("print", F.lit(0)).alias("print")).alias("_id"))
+    return single.join(kept, "_id", "left_semi").select("_row.*")

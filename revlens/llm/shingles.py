@@ -12,7 +12,6 @@ import numpy as np
 import xxhash
 
 SKETCH_BITS = 1024
-PIECE_BITS = 256
 PART_BYTES = 1 << 18
 _SPACES = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -153,27 +152,26 @@ class Bands:
         return list(range(int(np.searchsorted(self.tops, size)), int(np.searchsorted(self.tops, largest)) + 1))
 
 
-_COUNT = np.array([bin(value).count("1") for value in range(256)], np.uint8)
-_FOLD = scramble(np.arange(1, PIECE_BITS // 64 + 1, dtype=np.uint64)) | np.uint64(1)
-
-
 def piece_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a set: one for every piece of its sketch in every band it takes part in.
+    """Join keys of a set: of pieces of its sketch, in every band it takes part in.
 
-    Light pieces (no bit or one bit set) are alike in many unrelated sets. They are left out where
-    that is proven to lose nothing: if more pieces than can differ are not light, every
-    partner within the band shares one of those.
+    A piece holds 64 parity bits, each over the same bit of the hashes that fall into it: unlike sets
+    have equal pieces only where they share all elements there, however many sets there are. Pieces of
+    few elements are alike in unrelated sets, so only the fullest are taken, one more than can differ in
+    the band; ties go by key. That loses nothing: of two partners, one takes all its pieces from a
+    higher place of this order on; one of these lies in no difference, and the other takes it too.
     """
     keys = []
     mixed = scramble(hashes)
+    bits = scramble(mixed ^ _STEP)
     for band in bands.of(len(hashes)):
         pieces, top = bands.pieces[band], bands.tops[band]
-        sketch = parity_sketch(mixed, pieces * PIECE_BITS).reshape(pieces, PIECE_BITS // 8)
-        words = (sketch.view(np.uint64) * _FOLD).sum(axis=1, dtype=np.uint64)
+        inside = (mixed % np.uint64(pieces)).view(np.int64)
+        words = np.zeros(pieces, np.uint64)
+        np.bitwise_xor.at(words, inside, bits)
         place = np.arange(pieces, dtype=np.uint64) + np.uint64(band << 40)
         found = scramble(scramble(place) + words)
-        heavy = _COUNT[sketch].sum(axis=1, dtype=np.int64) > 1
-        if heavy.sum() > bands.differing(len(hashes), min(top, len(hashes) * 100 // bands.percent)):
-            found = found[heavy]
-        keys.append(found)
+        wanted = bands.differing(len(hashes), min(top, len(hashes) * 100 // bands.percent)) + 1
+        fullest = np.lexsort((found, np.bincount(inside, minlength=pieces)))[-wanted:]
+        keys.append(found[fullest])
     return np.concatenate(keys).view(np.int64)

@@ -19,7 +19,7 @@ import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from revlens.llm import ann, fingerprints, id_store, language, packing, parity_join, piece_bpe, sharding, toxicity, url_filter, wordwise
+from revlens.llm import ann, fingerprints, id_store, language, packing, parity_join, piece_bpe, sharding, shingles, toxicity, url_filter, wordwise
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -392,6 +392,39 @@ def test_keep_one_where_ids_repeat_or_miss(spark):
     assert all(row in rows for row in kept)
 
 
+def test_keep_one_deals_whole_rows_out_once(spark, odd):
+    """One exchange below the window, one of the narrow side; the join adds none."""
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = parity_join.keep_one(odd)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    assert plan.count("hashpartitioning(_id") == 2 and "hashpartitioning(_key" not in plan
+
+
+def test_unrelated_sets_share_no_piece():
+    """Otherwise chance alone gives a number of candidates that grows with the square of the sets."""
+    draw, bands = np.random.default_rng(3), shingles.Bands(80)
+    sets = [draw.integers(0, 2**64, draw.integers(300, 330), np.uint64) for _ in range(1500)]
+    keys = np.concatenate([np.unique(shingles.piece_keys(found, bands)) for found in sets])
+    assert len(np.unique(keys)) == len(keys)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_at_the_limit_share_a_piece(percent):
+    draw, bands = np.random.default_rng(percent), shingles.Bands(percent)
+    for size in [*range(1, 60), 100, 333, 1000]:
+        for _ in range(10):
+            # So many elements go and as many as may come then do, or the other way round.
+            gone = int(draw.integers(0, size - -(-size * percent // 100) + 1))
+            come = (size - gone) * 100 // percent - size
+            one = draw.integers(0, 2**64, size, np.uint64)
+            other = np.concatenate([one[gone:], draw.integers(0, 2**64, come, np.uint64)])
+            assert 100 * (size - gone) >= percent * (size + come)
+            assert np.intersect1d(shingles.piece_keys(one, bands), shingles.piece_keys(other, bands)).size
+
+
 def test_component_of_equal_texts_with_and_without_id(spark):
     table = spark.createDataFrame([(None, "one two three"), (7, "one two three"), (9, "one two three"), (None, "other")], "doc_id long, text string")
     found = sorted((tuple(row) for row in parity_join.similar_documents(table).collect()), key=str)
