@@ -166,3 +166,34 @@ def test_passes_send_no_trees_and_few_tasks_score(spark, feature_rows, monkeypat
     assert len(fitted) == 3
     assert all(kept and with_ids == without for kept, with_ids, without in fitted)
     assert model.calibrated(feature_rows.repartition(4)).rdd.getNumPartitions() == 1
+
+
+def test_driver_holds_few_trees_at_once(spark, feature_rows, monkeypatch):
+    """A forest grows and judges in batches of bounded nodes; its scores are the means over all trees of the fold."""
+    batches, fit = [], learn._fit_forest
+
+    def keep(training, config):
+        model = fit(training, config)
+        batches.append((frozenset(r[0] for r in training.select("sample_id").collect()), config, model))
+        return model
+
+    monkeypatch.setattr(learn, "_fit_forest", keep)
+    monkeypatch.setattr(learn, "NODES_AT_ONCE", 90, raising=False)
+    config = learn.ModelConfig(folds=3, trees=10, novelty_trees=5)
+    model = learn.fit(feature_rows, config)
+    by_fold = {}
+    for rows, own, forest in batches:
+        by_fold.setdefault(rows, []).append((own, forest))
+    assert len(by_fold) == 3 and len(batches) > 3
+    for rows, grown in by_fold.items():
+        assert sum(own.trees for own, _ in grown) == config.trees and len({own.seed for own, _ in grown}) == len(grown)
+        assert all(own.trees == 1 or forest.totalNumNodes <= 2 * 90 for own, forest in grown)
+        want = {}
+        for own, forest in grown:
+            for row in forest.transform(learn.feature_matrix(feature_rows)).collect():
+                want[row["sample_id"]] = want.get(row["sample_id"], 0) + row["probability"].toArray() * own.trees / config.trees
+        for row in model.out_of_fold.collect():
+            if row["sample_id"] not in rows:
+                assert [row["p_ai"], row["p_human"], row["p_hybrid"]] == pytest.approx(list(want[row["sample_id"]]))
+    found = model.calibrated(feature_rows).collect()
+    assert len(found) == 27 and all(abs(r["p_ai"] + r["p_human"] + r["p_hybrid"] - 1) < 1e-9 for r in found)
